@@ -165,3 +165,42 @@ class SpanHasher:
 
 def take_strings(col: pa.Array, rows: np.ndarray) -> pa.Array:
     return col.take(pa.array(rows, pa.int64()))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def fields(df: DataFrame) -> list[str]:
+    """The columns as DDL."""
+    return [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema]
+
+
+def unit_interval(*cols: Column) -> Column:
+    """A uniform number inside (0, 1) from a hash of the values; null is a value like any other."""
+    h = F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("\0null")) for c in cols))
+    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def dense_index(spark: SparkSession, df: DataFrame, name: str, index: str = "_index") -> DataFrame:
+    """df, written to the shared folder, with a gapless number from 0 in the order of its partitions and their rows.
+
+    Each partition numbers its own rows; only the partitions' counts are summed.
+    """
+    names = df.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pid, seen, b in numbered(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(np.arange(seen, seen + b.num_rows, dtype=np.int64))], names=[*names, "_part", "_local"])
+
+    return add_bases(table(spark, df.mapInArrow(number, ", ".join([*fields(df), "_part int, _local bigint"])), name), index)
+
+
+def add_bases(placed: DataFrame, index: str) -> DataFrame:
+    """Turns _part and _local into one gapless number. The window holds one row for each partition."""
+    from pyspark.sql import Window
+
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(base, "_part").withColumn(index, F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, sharding
+from quire.llm import audio, language, mixing, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": mixing.op2_mixing,
+        "op3_language_id": language.op3_language_id,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_url_filters": urls.op6_url_filters,
         "op8_sharding": sharding.op8_sharding,
         "op10_media_columns": audio.op10_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": urls.OP6_SQL}
