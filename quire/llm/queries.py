@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, language, mixing, sharding, toxicity, urls
+from quire.llm import audio, dedup, language, mixing, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language.op3_language_id,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filters": urls.op6_url_filters,
+        "op7_minhash_near_dedup": dedup.op7_minhash_near_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op10_media_columns": audio.op10_media_columns,
     }

@@ -1,6 +1,7 @@
 """Toxicity by a factorisation machine over hashed terms.
 
-A text is the set of its terms (lower-cased words, hashed to 2^20 ids). The
+A text is the set of its terms, hashed to 2^20 ids: lower-cased words, and their
+first four and five bytes, which stand for words that no labelled text has. The
 score is a logistic of bias, linear weights and pairwise interactions of
 factors, so that two terms that are harmless apart can weigh together.
 """
@@ -21,6 +22,8 @@ BITS = 20
 SAMPLE = 20_000  # labelled texts that are fitted, at most
 MIN_TEXTS = 4  # labelled texts that a term must occur in
 FACTORS = 8
+TERMS = 1 << 14  # that are fitted: those whose share of toxic texts is furthest from chance
+PREFIXES = (4, 5)
 
 WORD = byte_class(lambda b: b >= 128 or chr(b).isalnum())
 
@@ -38,8 +41,10 @@ def terms(buf: np.ndarray, off: np.ndarray, hasher: SpanHasher, slot: np.ndarray
     start, end, per = word_spans(buf, off, WORD)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    term = (hasher(buf, start, end) >> np.uint64(64 - BITS)).astype(np.int64)
-    text = np.repeat(np.arange(len(off) - 1), np.diff(per))
+    heads = [np.minimum(start + n, end) for n in PREFIXES]
+    term = np.concatenate([hasher(buf, start, e) ^ np.uint64(k << 64 - BITS) for k, e in enumerate([end, *heads])])
+    term = (term >> np.uint64(64 - BITS)).astype(np.int64)
+    text = np.tile(np.repeat(np.arange(len(off) - 1), np.diff(per)), len(PREFIXES) + 1)
     if slot is not None:
         term = slot[term]
         text, term = text[term >= 0], term[term >= 0]
@@ -67,14 +72,18 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(term: np.ndarray, at: np.ndarray, label: np.ndarray, epochs: int = 12, rate: float = 0.08, seed: int = 3) -> Machine:
-    """Mini-batches with AdaGrad; terms come as ids of 2^20 and are kept if they occur in MIN_TEXTS texts."""
+def fit(term: np.ndarray, at: np.ndarray, label: np.ndarray, epochs: int = 12, steps: int = 600, rate: float = 0.08, seed: int = 3) -> Machine:
+    """Mini-batches with AdaGrad; terms come as ids of 2^20; those kept occur in MIN_TEXTS texts and are among the TERMS furthest from chance."""
     rng = np.random.default_rng(seed)
     slot = np.full(1 << BITS, -1, np.int64)
-    known = np.flatnonzero(np.bincount(term, minlength=1 << BITS) >= MIN_TEXTS)
-    slot[known] = np.arange(len(known))
     n = len(at) - 1
     rate_of = float(np.clip(label.mean() if n else 0.0, 1e-4, 1 - 1e-4))
+    texts = np.bincount(term, minlength=1 << BITS)
+    toxic = np.bincount(term, np.repeat(label, np.diff(at)), 1 << BITS)
+    far = np.abs(toxic - texts * rate_of) / np.sqrt(np.maximum(texts, 1) * rate_of * (1 - rate_of))
+    known = np.flatnonzero(texts >= MIN_TEXTS)
+    known = np.sort(known[np.argsort(-far[known], kind="stable")[:TERMS]])
+    slot[known] = np.arange(len(known))
     m = Machine(float(np.log(rate_of / (1 - rate_of))), slot, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
     if not n or label.min() == label.max() or not len(known):
         return m
@@ -82,20 +91,21 @@ def fit(term: np.ndarray, at: np.ndarray, label: np.ndarray, epochs: int = 12, r
     per = sums(keep.astype(float), at).astype(np.int64)
     term, at = slot[term[keep]], np.concatenate([[0], np.cumsum(per)])
     g_bias, g_lin, g_fac = 1e-3, np.full(len(known), 1e-3), np.full(m.factors.shape, 1e-3)
-    for _ in range(epochs):
+    size = int(np.clip(n // 64, 16, 256))
+    for _ in range(max(epochs, min(100, steps * size // n))):  # small samples are passed over more often
         order = rng.permutation(n)
-        for rows in np.array_split(order, max(1, n // 256)):
-            size = at[rows + 1] - at[rows]
-            b = np.concatenate([[0], np.cumsum(size)])
-            t = term[np.repeat(at[rows] - b[:-1], size) + np.arange(b[-1])]
+        for rows in np.array_split(order, max(1, n // size)):
+            many = at[rows + 1] - at[rows]
+            b = np.concatenate([[0], np.cumsum(many)])
+            t = term[np.repeat(at[rows] - b[:-1], many) + np.arange(b[-1])]
             score, total = raw_scores(m, t, b)
             err = (logistic(score) - label[rows]) / len(rows)
-            e = np.repeat(err, size)
+            e = np.repeat(err, many)
             g_bias += err.sum() ** 2
             m.bias -= rate * err.sum() / np.sqrt(g_bias)
             seen, back = np.unique(t, return_inverse=True)
             lin = np.bincount(back, e, len(seen)) + 1e-5 * m.linear[seen]
-            grad = e[:, None] * (np.repeat(total, size, axis=0) - m.factors[t])
+            grad = e[:, None] * (np.repeat(total, many, axis=0) - m.factors[t])
             by = np.argsort(back, kind="stable")
             fac = np.add.reduceat(grad[by], np.searchsorted(back[by], np.arange(len(seen))), axis=0) + 1e-4 * m.factors[seen]
             g_lin[seen] += lin**2
