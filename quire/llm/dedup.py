@@ -287,3 +287,17 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "do
     alone = out.where("n_shingles = 0").select("row")
     keep = out.join(first.unionByName(alone), "row", "left_semi")
     return keep.select(*(F.col("text").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a),
+k AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT k.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, k.doc_id = component_id AS kept FROM k LEFT JOIN n ON k.doc_id = n.doc_id
+"""

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import audio, dedup, language, mixing, phrases, sequences, sharding, toxicity, urls
+from quire.llm import audio, dedup, language, mixing, pages, phrases, sequences, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": pages.op1_html_extraction,
         "op2_mixing": mixing.op2_mixing,
         "op3_language_id": language.op3_language_id,
         "op4_benchmark_decontamination": phrases.op4_benchmark_decontamination,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": phrases.OP4_SQL, "op6_url_filters": urls.OP6_SQL}
+    return {"op4_benchmark_decontamination": phrases.OP4_SQL, "op6_url_filters": urls.OP6_SQL, "op7_minhash_near_dedup": dedup.OP7_SQL}
