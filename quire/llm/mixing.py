@@ -182,6 +182,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents of the mix, repeated as often as it takes them."""
+    """The documents of the mix, as often as it takes them. Copies lie in different partitions, not one after another."""
     out = mix(spark, docs)
-    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    first, *more = (out.where(F.col("_copies") >= k).select(docs.columns) for k in range(1, int(MOST_COPIES) + 1))
+    for m in more:
+        first = first.unionByName(m)
+    return first
