@@ -41,6 +41,14 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Writes df, which is dealt by key to n partitions, so that joins on key don't shuffle it again."""
+    made = f"quire_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/quire/{made}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(made)
+    return spark.table(made)
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a table() whose readers have all run."""
     jvm = spark.sparkContext._jvm

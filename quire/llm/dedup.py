@@ -9,8 +9,9 @@
    estimates high similarities closely. The rest are confirmed on full sets.
 3. Components of the confirmed links. A bucket whose classes all lie in one
    component needs no more pairs, however large it is. In the others, classes
-   of different components are compared by their sketches, block by block, and
-   what passes is confirmed too.
+   with a partner of another component that the sketches allow are read again,
+   block by block, and their whole sets compared there: what leaves a block is
+   no more than the links that tie its components together.
 4. Components again, now of all links.
 
 A pair of similarity 0.75 shares no band with a chance of 5e-6; the sketch
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, byte_class, chunks, fields, lower_table, mixed, numbered, prepare, table, text_bytes, word_spans
+from quire.llm.common import SpanHasher, bucketed, byte_class, chunks, fields, mixed, numbered, prepare, table, text_bytes, word_spans
 from quire.llm.components import components
 
 SHINGLE = 5
@@ -36,6 +37,7 @@ SKETCH = 512  # bits
 SIMILAR = 0.75
 PLAUSIBLE = 0.45  # estimated similarity under which a pair of 0.75 hardly falls
 BLOCK = 1024  # classes of a bucket that are compared at once
+TILE = 8 << 20  # bytes of their texts whose sets are held at once
 
 WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
@@ -190,40 +192,123 @@ def confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFr
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, left, row, component, sketch) in order of (key, i, j); gives pairs of different components that the sketches allow.
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block pair (key, i, j), which lead the columns; rows come in their order."""
+    held, now = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != now:
+                if held:
+                    yield held
+                now, held = row[:3], []
+            held.append(row)
+    if held:
+        yield held
 
-    Blocks i and j of a bucket meet once; where i = j, a block meets itself. A
-    block pair has about 2 * BLOCK rows, whatever the bucket's size.
-    """
-    most, held, now = most_bits(PLAUSIBLE), [], None
 
-    def pairs() -> pa.RecordBatch:
-        rows = {k: [x for x in held if x[0] == k] for k in (True, False)}
-        out_a, out_b = [], []
-        left, right = rows[True], rows[False] if now[1] != now[2] else rows[True]
+def sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The rows of blocks i and j. Where they are one block, it stands on both sides."""
+    left = [r for r in rows if r[3]]
+    return left, left if rows[0][1] == rows[0][2] else [r for r in rows if not r[3]]
+
+
+def worth_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, i, j, left, row, component, sketch), those with a partner of another component that the sketches allow."""
+    most = most_bits(PLAUSIBLE)
+    for rows in groups_of(batches):
+        left, right = sides(rows)
+        keep: set[int] = set()
         if left and right:
-            lr, lc, ls = np.array([x[1] for x in left]), np.array([x[2] for x in left]), np.array([x[3] for x in left])
-            rr, rc, rs = np.array([x[1] for x in right]), np.array([x[2] for x in right]), np.array([x[3] for x in right])
-            for k in range(len(lr)):
-                far = np.bitwise_count(rs ^ ls[k]).sum(1, dtype=np.int64)
-                ok = (far <= most) & (rc != lc[k])
-                if now[1] == now[2]:
-                    ok &= rr > lr[k]
-                out_a.append(np.maximum(rr[ok], lr[k]))
-                out_b.append(np.minimum(rr[ok], lr[k]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            comp, row = np.array([r[5] for r in right]), np.array([r[4] for r in right])
+            sketch = np.array([r[6] for r in right]).view(np.uint64)
+            for r in left:
+                # Unsigned words: of signed ones the bits of the absolute value would be counted.
+                far = np.bitwise_count(sketch ^ np.array(r[6]).view(np.uint64)).sum(1, dtype=np.int64)
+                ok = row[(far <= most) & (comp != r[5])]
+                if len(ok):
+                    keep.update(ok.tolist(), (r[4],))
+        rows = [r[:6] for r in rows if r[4] in keep]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()], strict=True)], names=["key", "i", "j", "left", "row", "component"])
+
+
+def intersections(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b: products of 0/1 matrices over the hashes that both have."""
+    (ha, at_a), (hb, at_b) = a, b
+    both = np.intersect1d(ha, hb)
+    out = np.zeros((len(at_a) - 1, len(at_b) - 1), np.float32)
+    entries = []
+    for h, at in (a, b):
+        spot = np.minimum(np.searchsorted(both, h), max(0, len(both) - 1))
+        hit = both[spot] == h if len(both) else np.zeros(len(h), bool)
+        row, col = np.repeat(np.arange(len(at) - 1), np.diff(at))[hit], spot[hit]
+        by = np.argsort(col, kind="stable")
+        entries.append((row[by], col[by]))
+    width = 2048
+    for start in range(0, len(both), width):
+        parts = []
+        for (row, col), n in zip(entries, out.shape, strict=True):
+            x, y = np.searchsorted(col, [start, start + width])
+            m = np.zeros((n, width), np.float32)
+            m[row[x:y], col[x:y] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
 
-    for batch in batches:
-        for key, i, j, left, row, comp, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, i, j) != now:
-                if held:
-                    yield pairs()
-                now, held = (key, i, j), []
-            held.append((left, row, comp, sketch))
-    if held:
-        yield pairs()
+
+def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, i, j, left, row, component, text), links that tie components together: whole sets of all pairs are compared, and only links that tie what this block pair hasn't tied yet are given."""
+    hasher = SpanHasher()
+
+    def tiles(rows: list[tuple]) -> list[list[tuple]]:
+        off = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])])
+        return [rows[a:b] for a, b in chunks(off, TILE)]
+
+    def sets_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        buf, off = text_bytes(pa.array([r[6] for r in rows], pa.large_string()))
+        parts = [distinct_sets(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher)) for i, j in chunks(off)]
+        sizes = np.concatenate([np.diff(at) for _, at in parts])
+        return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+    for rows in groups_of(batches):
+        left, right = sides(rows)
+        root: dict[int, int] = {}
+
+        def find(x: int, root: dict[int, int] = root) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        found = []
+        for x in tiles(left):
+            own = sets_of(x)
+            for y in tiles(right):
+                other = own if y == x else sets_of(y)
+                both = intersections(own, other)
+                union = np.diff(own[1])[:, None] + np.diff(other[1])[None, :] - both
+                for p, q in np.argwhere((100 * both >= 75 * union) & (both > 0)).tolist():
+                    c, d = find(x[p][5]), find(y[q][5])
+                    if c != d:
+                        root[max(c, d)] = min(c, d)
+                        found.append((max(x[p][4], y[q][4]), min(x[p][4], y[q][4])))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def open_links(spark: SparkSession, members: DataFrame, reps: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of links, from the buckets whose classes lie in several of them."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    comp = components(spark, links)
+    labelled = members.where("n > 2").join(comp, F.col("a") == F.col("id"), "left").select("key", "a", "n", F.coalesce("component", "a").alias("component"))
+    labelled = table(spark, labelled, "open")
+    keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    rows = labelled.join(keys, "key", "left_semi").join(reps.select(F.col("row").alias("a"), "sketch"), "a")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "a"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), F.col("a").alias("row"), "component", "sketch")
+    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    read = dealt.mapInArrow(worth_reading, "key bigint, i int, j int, left boolean, row bigint, component bigint")
+    whole = read.join(texts, "row").select("key", "i", "j", "left", "row", "component", "text")
+    return whole.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(exact_links, "a bigint, b bigint").distinct()
 
 
 def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,23 +321,12 @@ def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame,
     buckets = reps.select("row", F.explode("bands").alias("key")).repartition(n, "key")
     shared = buckets.groupBy("key").agg(F.min("row").alias("b"), F.max("row").alias("top"), F.count("*").alias("n")).where("b < top")
     members = table(spark, buckets.join(shared.select("key", "b", "n"), "key").select("key", F.col("row").alias("a"), "b", "n"), "buckets")
-    texts = signs.select("row", "text")
-    star = members.where("a <> b").select("a", "b").distinct()
-    links = table(spark, confirmed(spark, plausible(star, reps), texts), "links")
-    # What the stars leave open: buckets of three or more in which components differ.
-    comp = components(spark, links)
-    open_ = members.where("n > 2").join(comp, F.col("a") == F.col("id"), "left").select("key", "a", "n", F.coalesce("component", "a").alias("component"))
-    mixed_ = table(spark, open_, "open")
-    keys = mixed_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = mixed_.join(keys, "key", "left_semi").join(reps.select(F.col("row").alias("a"), "sketch"), "a")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "a"), blocks).cast("int")
-    left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), F.col("a").alias("row"), "component", "sketch")
-    ordered = left.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = ordered.mapInArrow(crossing, "a bigint, b bigint").distinct()
-    more = table(spark, more.join(star, ["a", "b"], "left_anti"), "crossing")
-    return groups, links.unionByName(table(spark, confirmed(spark, more, texts), "links"))
+    # Verification reads texts by row many times: those that share a bucket are dealt out once and stay so.
+    shared_rows = members.select(F.col("a").alias("row")).distinct()
+    texts = bucketed(spark, signs.where("n_shingles > 0").select("row", "text").repartition(n, "row").join(shared_rows, "row", "left_semi"), "texts", "row", n)
+    star = plausible(members.where("a <> b").select("a", "b").distinct(), reps)
+    links = table(spark, confirmed(spark, star, texts), "links")
+    return groups, links.unionByName(table(spark, open_links(spark, members, reps, texts, links), "links"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

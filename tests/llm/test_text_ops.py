@@ -90,6 +90,7 @@ def test_near_duplicates_carry_clashing_columns(spark):
 
 def test_bucket_blocks_find_links_between_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 16)
+    monkeypatch.setattr(dedup, "TILE", 2000)
     texts = near_corpus()
     out = dedup.near_duplicates(spark, documents(spark, texts)).select("id", "n_shingles", "component").collect()
     assert sorted(map(tuple, out)) == brute_components(list(enumerate(texts)))
