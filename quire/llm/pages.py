@@ -57,7 +57,8 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # block-level ancestors
     parts: list[str] = []
-    links, linked, hidden, at = 0, 0, 0, 0
+    hidden: list[tuple[str, int]] = []  # open hidden elements, and how many blocks were open before
+    links, linked, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -91,20 +92,26 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if m["close"] or m["close2"]:
             if name in HIDDEN:
-                hidden = max(0, hidden - 1)
+                for k in range(len(hidden) - 1, -1, -1):
+                    if hidden[k][0] == name:
+                        del hidden[k:]
+                        break
             elif name == "a":
                 links = 0
             elif name in BLOCK:
                 flush()
                 links = 0
                 close({name})
+                while hidden and hidden[-1][1] > len(stack):  # its parent has ended
+                    hidden.pop()
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
         elif name in HIDDEN:
-            hidden += not attrs.endswith("/") and name not in VOID
+            if not attrs.endswith("/") and name not in VOID:
+                hidden.append((name, len(stack)))
         elif name == "a":
             links = 1
         elif name == "br":
