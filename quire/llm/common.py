@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 18  # of text that is worked on at a time; a longer text is a chunk of its own
@@ -205,10 +205,15 @@ def dense_index(spark: SparkSession, df: DataFrame, name: str, index: str = "_in
     return add_bases(table(spark, df.mapInArrow(number, ", ".join([*fields(df), "_part int, _local bigint"])), name), index)
 
 
+MOST_PARTS = 100_000  # input partitions whose counts, 16 bytes each, may be broadcast
+
+
 def add_bases(placed: DataFrame, index: str) -> DataFrame:
-    """Turns _part and _local into one gapless number. The window holds one row for each partition."""
-    from pyspark.sql import Window
+    """Turns _part and _local of a table() into one gapless number. The window holds one row for each partition.
 
+    Every partition has written a file at least, so the files bound the counts' size: up to MOST_PARTS they are broadcast, and wide rows stay where they are.
+    """
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    base = F.broadcast(base) if len(placed.inputFiles()) <= MOST_PARTS else base
     return placed.join(base, "_part").withColumn(index, F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")
