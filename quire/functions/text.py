@@ -11,7 +11,7 @@ SPACE = "(?U)\\s"  # all Unicode white space, as the service's own patterns have
 RESULT_CHARS = 60_000
 TRUNCATION_MARK = "\n... [truncated]"
 FILENAME_CHARS = 200
-IMAGE_TYPES = ["image/png", "image/jpeg", "image/webp", "image/gif", "image/bmp", "image/tiff", "application/pdf"]
+IMAGE_TYPES = ["image/png", "image/jpeg", "image/bmp", "image/tiff", "image/gif", "image/webp", "image/heic", "image/heif", "application/pdf"]
 INPUT_EXTENSIONS = ["png", "jpg", "jpeg", "bmp", "gif", "webp", "tif", "tiff", "pdf"]
 
 # Patterns of structure and mathematics.
@@ -70,8 +70,8 @@ def mime_safe(mime: Column) -> Column:
 
 def input_allowed(name: Column) -> Column:
     """A known extension, or none at all."""
-    ext = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^./]+)\z", 1))
-    return (ext == "") | ext.isin(INPUT_EXTENSIONS)
+    name = F.coalesce(name, F.lit(""))
+    return ~F.contains(name, F.lit(".")) | F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1)).isin(INPUT_EXTENSIONS)
 
 
 def attempt_number(text: Column) -> Column:

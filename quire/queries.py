@@ -139,7 +139,7 @@ def mime_safe(spark, sf):
     return read(spark, sf, "events").select("event_id", text.mime_safe(kind).alias("mime"))
 
 
-@query(f"SELECT page_id, e = '' OR e IN ({EXTENSIONS}) AS allowed FROM (SELECT page_id, lower(regexp_extract(regexp_extract(url, '[^/]*$'), '\\.([^./]+)$', 1)) AS e FROM pages)")
+@query(f"SELECT page_id, NOT contains(n, '.') OR lower(regexp_extract(n, '\\.([^.]*)$', 1)) IN ({EXTENSIONS}) AS allowed FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS n FROM pages)")
 def input_allowed(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.input_allowed(F.regexp_extract("url", r"[^/]*\z", 0)).alias("allowed"))
 

@@ -18,7 +18,7 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def tex_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(key, tex) of every .tex file of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.tex").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.tex").text(folder, wholetext=True)
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.tex\z", 1).alias("key"), F.col("value").alias("tex"))
 
 
