@@ -171,8 +171,8 @@ def word_distinct_ratio(spark, sf):
 
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Small LaTeX sources made from documents, with faults by doc_id."""
-    body = F.expr("regexp_replace(substr(text, 1, 200), '[^A-Za-z. ]', ' ')")
+    """LaTeX sources made from whole documents, with faults by doc_id."""
+    body = F.expr("regexp_replace(text, '[^A-Za-z. ]', ' ')")
     fault = F.expr(r"""CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN '\\input{secret}' WHEN 2 THEN '\\inputs{x}' WHEN 3 THEN '% \\input{x}' WHEN 4 THEN '\\write18{ls}' WHEN 5 THEN '\\openin1=f.txt' WHEN 6 THEN '\\section{One} \\frac{a}{b}' ELSE '{ \\left( x $' END""")
     head = F.expr(r"CASE WHEN doc_id % 5 = 0 THEN '' ELSE '\\documentclass{article}\n\\usepackage{amsmath}\n' END")
     made = F.concat(head, F.lit("\\begin{document}\n"), fault, F.lit("\n"), body, F.expr(r"CASE WHEN doc_id % 7 = 0 THEN '' ELSE '\n\\end{document}\n' END"))
@@ -181,7 +181,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 
 SOURCES = r"""(SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '\documentclass{article}' || chr(10) || '\usepackage{amsmath}' || chr(10) END || '\begin{document}' || chr(10)
  || CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN '\input{secret}' WHEN 2 THEN '\inputs{x}' WHEN 3 THEN '% \input{x}' WHEN 4 THEN '\write18{ls}' WHEN 5 THEN '\openin1=f.txt' WHEN 6 THEN '\section{One} \frac{a}{b}' ELSE '{ \left( x $' END
- || chr(10) || regexp_replace(substr(text, 1, 200), '[^A-Za-z. ]', ' ', 'g') || CASE WHEN doc_id % 7 = 0 THEN '' ELSE chr(10) || '\end{document}' || chr(10) END AS tex FROM documents)"""
+ || chr(10) || regexp_replace(text, '[^A-Za-z. ]', ' ', 'g') || CASE WHEN doc_id % 7 = 0 THEN '' ELSE chr(10) || '\end{document}' || chr(10) END AS tex FROM documents)"""
 
 
 @query(rf"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(c, '\\write\s*18') THEN '\write18 (runs shell commands)' END, CASE WHEN regexp_matches(c, '\\openin([^a-zA-Z]|$)') THEN '\openin (reads files)' END, CASE WHEN regexp_matches(c, '\\input([^a-zA-Z]|$)') THEN '\input (reads another file)' END], lambda x: x IS NOT NULL) AS found
@@ -206,7 +206,7 @@ def repair_documents(spark, sf):
 
 @query()
 def sanitise_math(spark, sf):
-    expr = F.expr(r"concat(CASE doc_id % 6 WHEN 0 THEN '\\frac{a}{' WHEN 1 THEN 'a \\\\ b' WHEN 2 THEN 'x \\right)' WHEN 3 THEN '\\input{x}' WHEN 4 THEN 'x } \\tag{1}' ELSE '50% $' END, substr(text, 1, 20))")
+    expr = F.expr(r"concat(CASE doc_id % 6 WHEN 0 THEN '\\frac{a}{' WHEN 1 THEN 'a \\\\ b' WHEN 2 THEN 'x \\right)' WHEN 3 THEN '\\input{x}' WHEN 4 THEN 'x } \\tag{1}' ELSE '50% $' END, text)")
     return read(spark, sf, "documents").select("doc_id", tex.sanitise(expr).alias("r")).select("doc_id", "r.latex", "r.ok", "r.reason")
 
 
@@ -265,7 +265,7 @@ def reply_json(spark, sf):
 
 @query()
 def escape_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", tex.escape(F.col("text")).alias("tex"), tex.unwrap(F.concat(F.lit("\\mathrm{a b~c d} "), F.substring("text", 1, 40))).alias("words"))
+    return read(spark, sf, "documents").select("doc_id", tex.escape(F.col("text")).alias("tex"), tex.unwrap(F.concat(F.lit("\\mathrm{a b~c d} "), F.col("text"))).alias("words"))
 
 
 @query(rf"SELECT doc_id, CAST(len(list_filter(string_split_regex(b, '\n\s*\n'), lambda x: trim(replace(x, chr(10), '')) <> '')) AS INT) AS blocks, CAST(len(regexp_extract_all(b, '\\\[|\\begin\{{equation\}}')) AS INT) AS equations FROM (SELECT doc_id, CASE WHEN contains(tex, '\end{{document}}') THEN split_part(split_part(tex, '\begin{{document}}', 2), '\end{{document}}', 1) ELSE tex END AS b FROM {SOURCES})")
@@ -364,11 +364,11 @@ def error_classes(spark, sf):
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark texts against themselves, spaced and with a tail: truths and guesses of three conditions."""
-    t = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z0-9 ]", "")
+    t = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
     return read(spark, sf, "benchmark").select("item_id", F.concat(F.lit("c"), F.col("item_id") % 3).alias("cond"), F.concat(F.lit("{ a }"), t).alias("truth"), F.concat(F.lit("a "), t, F.expr("CASE WHEN item_id % 2 = 0 THEN ' xyz' ELSE '' END")).alias("guess"))
 
 
-PAIRS = r"(SELECT item_id, 'c' || item_id % 3 AS cond, 'a' || regexp_replace(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9 ]', '', 'g'), '\s+', '', 'g') AS t, 'a' || regexp_replace(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9 ]', '', 'g'), '\s+', '', 'g') || CASE WHEN item_id % 2 = 0 THEN 'xyz' ELSE '' END AS g FROM benchmark)"
+PAIRS = r"(SELECT item_id, 'c' || item_id % 3 AS cond, 'a' || regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), '\s+', '', 'g') AS t, 'a' || regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), '\s+', '', 'g') || CASE WHEN item_id % 2 = 0 THEN 'xyz' ELSE '' END AS g FROM benchmark)"
 
 
 @query(f"SELECT item_id, t, g, levenshtein(t, g) AS edits, length(t) AS chars FROM {PAIRS}")
@@ -398,8 +398,8 @@ def structure_score(spark, sf):
 @query()
 def text_and_math_score(spark, sf):
     t = F.col("tex")
-    shown = sources(spark, sf).withColumn("tex", F.concat(F.lit("$x_{1}+y$ \\[ \\frac{a}{b} \\] "), t))
-    return shown.select("doc_id", text.plain_text(t).alias("plain"), text.text_score(t, F.concat(t, F.lit(" tail"))).alias("text"), tex.math_score(text.math_expressions(t), text.math_expressions(F.lit("$x_1+z$"))).alias("math"))
+    shown = read(spark, sf, "benchmark").withColumn("tex", F.concat(F.lit("$x_{1}+y$ \\[ \\frac{a}{b} \\] "), "text"))
+    return shown.select("item_id", text.plain_text(t).alias("plain"), text.text_score(t, F.concat(t, F.lit(" tail"))).alias("text"), tex.math_score(text.math_expressions(t), text.math_expressions(F.lit("$x_1+z$"))).alias("math"))
 
 
 @query("SELECT event_type, min(value) AS least, list_sort(list(value))[len(list(value)) // 2 + 1] AS median, max(value) AS most FROM events GROUP BY event_type")
