@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import tex, text
-from quire.operators import availability, history, layout, limiter, metrics
+from quire.operators import availability, history, layout, limiter, metrics, requests
 from quire.plans import chain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,3 +493,42 @@ def tallest_regions(spark, sf):
     return boxes(spark, sf).withColumn("k", F.row_number().over(tall)).where("k <= 3").select("page", "t", "b", F.row_number().over(order).alias("place"))
 
 
+
+
+# --- requests --------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'All fields are required' WHEN event_id % 7 = 0 THEN 'Passwords do not match' WHEN length(event_type) < 8 THEN 'Password must be at least 8 characters' WHEN event_id % 5 = 0 THEN 'You must agree to the terms and conditions' END AS error FROM events""")
+def form_errors(spark, sf):
+    again = F.when(F.col("event_id") % 7 == 0, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))
+    error = requests.form_error(F.lit("n"), F.when(F.col("event_id") % 11 == 0, "").otherwise("e"), F.col("event_type"), again, F.col("event_id") % 5 != 0)
+    return read(spark, sf, "events").select("event_id", error.alias("error"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Email already exists' WHEN 1 THEN 'Malformed email address' ELSE 'Failed to create account' END AS message, strftime(o_orderdate, '%d %b %Y, %H:%M') AS shown,
+ o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY AS session, o_totalprice * 10 > 1048576 AS too_large, o_orderpriority <> '1-URGENT' AS outdated FROM orders""")
+def request_rules(spark, sf):
+    code = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'EMAIL_EXISTS' WHEN 1 THEN 'INVALID_EMAIL' WHEN 2 THEN 'OPERATION_NOT_ALLOWED' END")
+    now, issued = F.unix_seconds(F.lit("1998-01-01").cast("timestamp")), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    return read(spark, sf, "orders").select(
+        "o_orderkey", requests.message(code, requests.SIGN_UP_ERRORS, requests.SIGN_UP_DEFAULT).alias("message"), requests.shown_time(F.col("o_orderdate")).alias("shown"),
+        requests.session_valid(F.lit(True), issued, now).alias("session"), requests.too_large(F.ceil(F.col("o_totalprice") * 10)).alias("too_large"), requests.terms_outdated(F.col("o_orderpriority"), "1-URGENT").alias("outdated"),
+    )
+
+
+@query("SELECT l_shipmode_ AS path, count(*) AS requests, round(sum(l_extendedprice), 2) AS bytes FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_, l_extendedprice FROM lineitem WHERE l_linenumber <> 3) GROUP BY 1")
+def bytes_served(spark, sf):
+    log = read(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("path"), F.when(F.col("l_linenumber") == 3, 404).otherwise(200).alias("status"), F.col("l_extendedprice").alias("bytes"))
+    return requests.bytes_served(log).withColumn("bytes", F.round("bytes", 2))
+
+
+@query("SELECT DISTINCT 'f' || p_partkey // 2 || '.tfm' AS name, 'f' || p_partkey // 2 AS alias FROM part WHERE p_partkey % 3 > 0 AND p_partkey // 2 NOT IN (SELECT p_partkey // 2 FROM part WHERE p_partkey % 3 = 0)")
+def bare_aliases(spark, sf):
+    names = F.expr("concat('f', p_partkey div 2, CASE WHEN p_partkey % 3 > 0 THEN '.tfm' ELSE '' END)")
+    return requests.bare_aliases(read(spark, sf, "part").select(names.alias("name"))).select("name", "alias")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'english' WHEN contains(url, '/de/') THEN 'german' ELSE 'in git' END AS producer, ['b', 'b', 'c'] AS kept FROM pages")
+def producers(spark, sf):
+    letters = F.array(*(F.lit(x) for x in "abbac"))
+    return read(spark, sf, "pages").select("page_id", requests.producer(F.col("url"), [("/en/", "english"), ("/de/", "german")]).alias("producer"), requests.without(letters, F.array(F.lit("a"))).alias("kept"))

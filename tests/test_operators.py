@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import images, text
-from quire.operators import availability, history, layout, limiter, metrics
+from quire.operators import availability, history, layout, limiter, metrics, requests
 from quire.plans import chain
 from quire.sources import files
 
@@ -203,3 +203,20 @@ def test_images(spark):
 def test_runs_join_close_bands():
     rows = np.array([1, 1, 0, 1, 0, 0, 0, 1], bool)
     assert images.runs(rows, 1).tolist() == [[0, 2], [3, 4], [7, 8]] and images.runs(rows, 2).tolist() == [[0, 4], [7, 8]]
+
+
+def test_request_rules(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    form = lambda *v: value(requests.form_error(*(F.lit(x) for x in v)))
+    assert form("n", "e", "12345678", "12345678", True) is None
+    assert [form("", "e", "x", "x", True), form("n", "e", "x", "y", True), form("n", "e", "x", "x", None), form("n", "e", "12345678", "12345678", None)] == requests.FORM_ERRORS
+    assert [value(requests.session_valid(F.lit(s), F.lit(i), F.lit(2_592_100))) for s, i in ((True, 100), (True, 99), (False, 100), (True, None))] == [True, False, False, False]
+    good = {"aud": "p", "iss": "https://securetoken.google.com/p", "sub": "u", "exp": 101, "iat": 160, "auth_time": 50, "disabled": False, "valid_since": 50}
+    for change, want in (({}, True), ({"exp": 100}, False), ({"iat": 161}, False), ({"aud": "q"}, False), ({"sub": ""}, False), ({"disabled": True}, False), ({"valid_since": 51}, False), ({"valid_since": None, "disabled": None}, True)):
+        kinds = {"exp": "bigint", "iat": "bigint", "auth_time": "bigint", "valid_since": "bigint", "disabled": "boolean"}
+        claims = F.struct(*(F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in (good | change).items()))
+        assert value(requests.claims_valid(claims, "p", F.lit(100))) is want
+    assert [value(requests.too_large(F.lit(x))) for x in ("1048576", "1048577", "x", None)] == [False, True, False, False]
+    assert value(requests.message(F.lit(None).cast("string"), {"A": "b"}, "c")) == "c" and value(requests.terms_outdated(F.lit(None).cast("string"), "2")) is False
+    assert value(requests.without(F.array(*map(F.lit, "abab")), F.array(F.lit("a")))) == ["b", "b"]
