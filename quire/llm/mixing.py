@@ -22,14 +22,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import dense_index, table, unit_interval
+from quire.llm.common import byte_class, chunks, dense_index, fields, per_batch, prepare, table, text_bytes, unit_interval, word_spans
 
 MOST_COPIES = 3.0
 DIGIT, LEVELS = 13, 4  # 52 bits of rank
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
+
+
+def with_word_count(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the number of runs of bytes that aren't white space; 0 for null. One pass over the bytes, without a list of the words."""
+    names = df.columns
+    place = names.index(text)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        buf, off = text_bytes(b.column(place))
+        n = np.zeros(b.num_rows, np.int64)
+        for i, j in chunks(off):
+            n[i:j] = np.diff(word_spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], WORD)[2])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[*names, name])
+
+    return df.mapInArrow(per_batch(run), ", ".join([*fields(df), f"{name} bigint"]))
 
 
 def size_class(size: Column) -> Column:
@@ -149,8 +163,8 @@ def under_second() -> Column:
     return (F.col("_size") <= F.col("_fit")) & ((F.col("_key") < F.col("_cut2")) | ((F.col("_key") == F.col("_cut2")) & F.col("_with2")))
 
 
-def mix(spark: SparkSession, df: DataFrame, source: str = "source", size: Column | None = None, key: str = "doc_id", seed: int = 11) -> DataFrame:
-    """df with _size, _total (of its source), _target, _copies (0 to 3).
+def mix(spark: SparkSession, df: DataFrame, source: str = "source", size: Column | None = None, key: str = "doc_id", seed: int = 11, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df without the columns to drop, with _size, _total (of its source), _target, _copies (0 to 3).
 
     Null sources are one source of their own, null texts have size 0, an empty
     table gives an empty result. Rows that repeat an id share its random number:
@@ -160,9 +174,11 @@ def mix(spark: SparkSession, df: DataFrame, source: str = "source", size: Column
     """
     if clash := [c for c in df.columns if c.startswith("_")]:
         raise ValueError(f"columns {clash} begin with an underscore")
-    size = word_count(F.col("text")) if size is None else size
-    full = df.withColumns({"_source": F.col(f"`{source}`").cast("string"), "_size": size, "_u": unit_interval(F.col(f"`{key}`"), F.lit(seed))})
-    small = table(spark, full.select("_source", "_size", "_u"), "sizes")
+    prepare(spark)
+    sized = with_word_count(df, "text", "_size") if size is None else df.withColumn("_size", size)
+    # Written once: sizes are counted once, and all that follows reads its few columns.
+    full = table(spark, sized.drop(*drop).withColumns({"_source": F.col(f"`{source}`").cast("string"), "_u": unit_interval(F.col(f"`{key}`"), F.lit(seed))}), "sizes")
+    small = full.select("_source", "_size", "_u")
     classes = small.groupBy("_source", size_class(F.col("_size")).alias("_class")).agg(F.sum("_size").alias("_words"))
     totals = classes.groupBy("_source").agg(F.sum("_words").alias("_total"), F.collect_list(F.struct("_class", "_words")).alias("_classes"))
     weighted = table(spark, cycle_weights(spark, totals), "weights")
@@ -171,13 +187,13 @@ def mix(spark: SparkSession, df: DataFrame, source: str = "source", size: Column
     found = cuts(spark, small, table(spark, state, "rates"))
     ranked = with_rank(full.join(found, full["_source"].eqNullSafe(found["_s"]), "inner"))
     some = (F.col("_expected") > F.col("_whole")) & (under_first() | under_second())
-    return ranked.select(*(F.col(f"`{c}`") for c in df.columns), "_size", "_total", "_target", (F.col("_whole") + some.cast("long")).alias("_copies"))
+    return ranked.select(*(F.col(f"`{c}`") for c in df.columns if c not in drop), "_size", "_total", "_target", (F.col("_whole") + some.cast("long")).alias("_copies"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mix(spark, docs)
+    out = mix(spark, docs, drop=("text",))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
 
 
