@@ -170,11 +170,11 @@ def learn(spark: SparkSession, docs: DataFrame, lang: str = "lang", sample: int
 def identify(spark: SparkSession, df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
     """df with _lang and _score (0 to 1). `und` and 0 where the text is null or has no letter. Rows are independent."""
     prepare(spark)
-    names, model = df.columns, spark.sparkContext.broadcast(filters)
+    names, model = df.columns, spark.sparkContext.broadcast(vars(filters))
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, f = letters(), model.value
+        table, f = letters(), Filters(**model.value)
         for b in batches:
             lang, score = [], []
             for _, _, texts in decoded(b, place):

@@ -351,12 +351,12 @@ def extract(spark: SparkSession, df: DataFrame, html_col: str = "html", field: F
     decoded whole, in time proportional to their length.
     """
     prepare(spark)
-    held = spark.sparkContext.broadcast(field or train(labelled_pages()))
+    held = spark.sparkContext.broadcast(vars(field or train(labelled_pages())))  # plain values: workers don't import this package
     names = df.columns
     place = names.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = held.value
+        f = Field(**held.value)
         for b in batches:
             found = [main_blocks(f, p.as_py()) for p in b.column(place)]
             cols = [pa.array(["\n".join(x) for x in found], pa.string()), pa.array([len(x) for x in found], pa.int32())]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import SpanHasher, byte_class, chunks, crc_mod, fields, prepare, text_bytes, word_spans
 
 BITS = 20
-SAMPLE = 20_000  # labelled texts that are fitted, at most
+SAMPLE = 12_000  # labelled texts that are fitted, at most
 MIN_TEXTS = 4  # labelled texts that a term must occur in
 FACTORS = 8
 TERMS = 1 << 14  # that are fitted: those whose share of toxic texts is furthest from chance
@@ -72,24 +72,36 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(term: np.ndarray, at: np.ndarray, label: np.ndarray, epochs: int = 12, steps: int = 600, rate: float = 0.08, seed: int = 3) -> Machine:
-    """Mini-batches with AdaGrad; terms come as ids of 2^20; those kept occur in MIN_TEXTS texts and are among the TERMS furthest from chance."""
+def fit(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 12, steps: int = 600, rate: float = 0.08, seed: int = 3) -> Machine:
+    """Mini-batches with AdaGrad. parts: (terms, terms of each text) of runs of texts, terms as ids of 2^20.
+
+    Kept are terms of MIN_TEXTS texts at least, the TERMS furthest from chance. Parts are counted one by one, so little more than the terms is held.
+    """
     rng = np.random.default_rng(seed)
-    slot = np.full(1 << BITS, -1, np.int64)
-    n = len(at) - 1
+    n = len(label)
     rate_of = float(np.clip(label.mean() if n else 0.0, 1e-4, 1 - 1e-4))
-    texts = np.bincount(term, minlength=1 << BITS)
-    toxic = np.bincount(term, np.repeat(label, np.diff(at)), 1 << BITS)
+    texts, toxic, seen = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
+    for term, size in parts:
+        bad = np.repeat(label[seen : seen + len(size)] > 0, size)
+        texts += np.bincount(term, minlength=1 << BITS)
+        toxic += np.bincount(term[bad], minlength=1 << BITS)
+        seen += len(size)
     far = np.abs(toxic - texts * rate_of) / np.sqrt(np.maximum(texts, 1) * rate_of * (1 - rate_of))
     known = np.flatnonzero(texts >= MIN_TEXTS)
     known = np.sort(known[np.argsort(-far[known], kind="stable")[:TERMS]])
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[known] = np.arange(len(known))
+    kept, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for term, size in parts:
+        own = slot[term]
+        upto = np.concatenate([[0], np.cumsum(own >= 0, dtype=np.int64)])
+        end = np.cumsum(size)
+        kept.append(own[own >= 0])
+        sizes.append(upto[end] - upto[end - size])
+    term, at = np.concatenate(kept), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     m = Machine(float(np.log(rate_of / (1 - rate_of))), slot, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
     if not n or label.min() == label.max() or not len(known):
         return m
-    keep = slot[term] >= 0
-    per = sums(keep.astype(float), at).astype(np.int64)
-    term, at = slot[term[keep]], np.concatenate([[0], np.cumsum(per)])
     g_bias, g_lin, g_fac = 1e-3, np.full(len(known), 1e-3), np.full(m.factors.shape, 1e-3)
     size = int(np.clip(n // 64, 16, 256))
     for _ in range(max(epochs, min(100, steps * size // n))):  # small samples are passed over more often
@@ -140,20 +152,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = S
     kind = dict(docs.dtypes)["doc_id"]
     bags = labelled_sample(docs, labels, most).select("doc_id", F.col("label").cast("int"), "text").mapInArrow(bag, f"doc_id {kind}, label int, terms array<int>")
     got = bags.orderBy(F.xxhash64(F.lit("fit"), F.col("doc_id")), "doc_id").limit(most).toArrow()
-    lists = got.column("terms").combine_chunks()
-    term = np.asarray(lists.flatten(), np.int64)
-    at = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))]) if len(lists) else np.zeros(1, np.int64)
-    return fit(term, at, np.asarray(got.column("label"), float))
+    parts = []
+    for chunk in got.column("terms").chunks:
+        for k in range(0, len(chunk), 256):
+            rows = chunk.slice(k, 256)
+            parts.append((np.asarray(rows.flatten()), np.asarray(rows.value_lengths(), np.int64)))
+    return fit(parts, np.asarray(got.column("label"), float))
 
 
 def score(spark: SparkSession, df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """df with _score. Null and empty texts score as a text without known terms; rows are independent."""
     prepare(spark)
-    names, model = df.columns, spark.sparkContext.broadcast(machine)
+    names, model = df.columns, spark.sparkContext.broadcast(vars(machine))
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, m = SpanHasher(), model.value
+        hasher, m = SpanHasher(), Machine(**model.value)
         for b in batches:
             buf, off = text_bytes(b.column(place))
             out = np.empty(b.num_rows)
