@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quire.functions import tex, text
 from quire.operators import availability, history, layout, limiter, metrics, requests
 from quire.plans import chain
+from quire.sources import tables
+from quire.streaming.limiter import limited_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +289,14 @@ def limiter_batch(spark, sf):
     return limiter.limited(spark, log, 3, 86_400).select("caller", "event_id", "limited", "retry_after")
 
 
+@query(SQL["limiter_batch"])
+def limiter_stream(spark, sf):
+    """The same decisions from a stateful stream over the log's files."""
+    log = tables.stream_table(spark, sf, "events").select(F.lit("convert").alias("group"), F.col("user_id").cast("string").alias("caller"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
+    got = tables.run_to_end(spark, limited_stream(log, 3, 86_400).writeStream, "limiter")
+    return got.select(F.col("caller").cast("bigint").alias("caller"), "event_id", "limited", "retry_after")
+
+
 def outage_log(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select(F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_id") % 3 == 0).alias("ok"), F.lit(429).alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).otherwise(0).alias("retry_after"))
 

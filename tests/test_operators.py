@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import images, text
 from quire.operators import availability, history, layout, limiter, metrics, requests
 from quire.plans import chain
-from quire.sources import files
+from quire.sources import files, tables
 
 
 def test_history_keeps_twenty_and_prunes_fifty(spark):
@@ -68,10 +68,8 @@ def test_limiter_stream_equals_the_batch(spark, tmp_path):
         part = rows[k * 267 : (k + 1) * 267]
         spark.createDataFrame([("convert", *r) for r in part], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log/p{k}")
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log/")
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # batches for timeouts alone would never end
-    q = limited_stream(stream, 4, 30).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    out = {r.event_id: (r.limited, r.retry_after) for r in spark.table("limited").collect()}
+    got = tables.run_to_end(spark, limited_stream(stream, 4, 30).writeStream, "limited")
+    out = {r.event_id: (r.limited, r.retry_after) for r in got.collect()}
     assert out == brute_limiter(rows, 4, 30)
 
 
