@@ -154,7 +154,7 @@ def parse(data: bytes) -> Stream:
     """
     out, (at, out.tag) = Stream(), parse_tag(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    raw, offs, lens, bodies, checks = np.frombuffer(data, np.uint8), [], [], [], []
+    raw, offs, lens, bodies = np.frombuffer(data, np.uint8), [], [], []
     found: Frame | None = None
     while at < end:
         f = header(data, at)
@@ -180,9 +180,9 @@ def parse(data: bytes) -> Stream:
         if f.checked and f.layer == 3:
             m = side_size(f)
             block = raw[at : at + n * f.length].reshape(n, f.length)
-            checks.append(block[:, [2, 3, *range(6, 6 + m)]])
+            covered = block[:, [2, 3, *range(6, 6 + m)]]
             want = block[:, 4].astype(np.uint16) << 8 | block[:, 5]
-            out.bad_checksums += int((crc16(checks.pop(), crc_table()) != want).sum())
+            out.bad_checksums += int((crc16(covered, crc_table()) != want).sum())
         out.samples += n * f.samples
         at += n * f.length
     if found is None:

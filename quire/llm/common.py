@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -28,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
-        where = tempfile.mkdtemp(prefix="quire-")
-        atexit.register(shutil.rmtree, where, True)
-        spark.conf.set("spark.checkpoint.dir", where)
+        own = tempfile.mkdtemp(prefix="quire-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(f"file://{own}")
+        where = sc._jsc.sc().getCheckpointDir().get()
     return where
 
 
@@ -49,12 +51,19 @@ def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) ->
     return spark.table(made)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a table() whose readers have all run."""
+def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of tables that nothing will read again; what was made of them has been written itself."""
     jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+    for f in {x.rpartition("/")[0] for df in tables for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Between phases: Spark drops the shuffle files and broadcasts of plans that are done once the driver's garbage is collected, which may otherwise take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 # --- rows --------------------------------------------------------------------
@@ -171,10 +180,6 @@ class SpanHasher:
         return mixed((run[end] - run[start]) * down[start])
 
 
-def take_strings(col: pa.Array, rows: np.ndarray) -> pa.Array:
-    return col.take(pa.array(rows, pa.int64()))
-
-
 def prepare(spark: SparkSession) -> None:
     """Arrow batches of a few MB, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, bucketed, byte_class, chunks, fields, mixed, numbered, prepare, table, text_bytes, word_spans
+from quire.llm.common import SpanHasher, bucketed, byte_class, chunks, drop_tables, fields, mixed, numbered, prepare, release, table, text_bytes, word_spans
 from quire.llm.components import components
 
 SHINGLE = 5
@@ -296,7 +296,7 @@ def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def open_links(spark: SparkSession, members: DataFrame, reps: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
     """Links (a, b) between different components of links, from the buckets whose classes lie in several of them."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    comp = components(spark, links)
+    comp = components(spark, links, rounds=2)  # classes that are still apart are only compared once more
     labelled = members.where("n > 2").join(comp, F.col("a") == F.col("id"), "left").select("key", "a", "n", F.coalesce("component", "a").alias("component"))
     labelled = table(spark, labelled, "open")
     keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
@@ -308,7 +308,10 @@ def open_links(spark: SparkSession, members: DataFrame, reps: DataFrame, texts:
     dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     read = dealt.mapInArrow(worth_reading, "key bigint, i int, j int, left boolean, row bigint, component bigint")
     whole = read.join(texts, "row").select("key", "i", "j", "left", "row", "component", "text")
-    return whole.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(exact_links, "a bigint, b bigint").distinct()
+    found = whole.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(exact_links, "a bigint, b bigint").distinct()
+    found = table(spark, found, "links")
+    drop_tables(spark, labelled, comp)
+    return found
 
 
 def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +329,10 @@ def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame,
     texts = bucketed(spark, signs.where("n_shingles > 0").select("row", "text").repartition(n, "row").join(shared_rows, "row", "left_semi"), "texts", "row", n)
     star = plausible(members.where("a <> b").select("a", "b").distinct(), reps)
     links = table(spark, confirmed(spark, star, texts), "links")
-    return groups, links.unionByName(table(spark, open_links(spark, members, reps, texts, links), "links"))
+    release(spark)
+    links = links.unionByName(open_links(spark, members, reps, texts, links))
+    drop_tables(spark, reps, members, texts)
+    return groups, links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,6 +349,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     labelled = groups.join(comp, F.col("class") == F.col("id"), "left").select("fp1", "fp2", "n_shingles", "low", "class", F.coalesce("component", "class").alias("c"))
     lows = labelled.groupBy("c").agg(F.min("low").alias("component"))
     by_set = table(spark, labelled.join(lows, "c").select("fp1", "fp2", F.col("n_shingles").alias("m"), "component"), "components")
+    drop_tables(spark, groups, links, comp)
     rows = signs.select("row", "id", "text", "doc", "n_shingles", "fp1", "fp2")
     on = (rows["fp1"] == by_set["fp1"]) & (rows["fp2"] == by_set["fp2"]) & (rows["n_shingles"] == by_set["m"])
     return rows.join(by_set, on, "left").select("row", "id", "text", "doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_class, chunks, dense_index, fields, per_batch, prepare, table, text_bytes, unit_interval, word_spans
+from quire.llm.common import byte_class, chunks, dense_index, fields, per_batch, prepare, release, table, text_bytes, unit_interval, word_spans
 
 MOST_COPIES = 3.0
 DIGIT, LEVELS = 13, 4  # 52 bits of rank
@@ -132,6 +132,7 @@ def cut(spark: SparkSession, small: DataFrame, state: DataFrame, open_: Column)
         # A source without open rows has no bin: nothing of it lies under rank 0.
         found = now.join(step, now["_s"].eqNullSafe(F.col("_k")), "left").select(*keep, F.coalesce("_to", F.lit(0)).alias("_cut"), (F.col("_rest") - F.coalesce("_before", F.lit(0))).alias("_rest"), F.coalesce("_run", F.lit(0)).alias("_last"))
         now = table(spark, found, "cut")
+    release(spark)
     return now
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, byte_class, chunks, fields, prepare, table, text_bytes, word_spans
+from quire.llm.common import SpanHasher, byte_class, chunks, drop_tables, prepare, table, text_bytes, word_spans
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
@@ -208,10 +208,10 @@ MATCH = "key bigint, n_words bigint, spans array<array<bigint>>, items array<str
 
 
 def search_block(spark: SparkSession, index: DataFrame, phrases: Phrases, within: int) -> DataFrame:
-    held = spark.sparkContext.broadcast(phrases)
+    held = spark.sparkContext.broadcast(vars(phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = held.value
+        q = Phrases(**held.value)
         for b in batches:
             for k in range(b.num_rows):
                 keys, words = (np.asarray(b.column(c)[k].values) for c in (0, 1))
@@ -285,7 +285,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, items: DataFrame) ->
     """The documents that hold no window of any item. Texts are told apart by a 64-bit hash, so repeated ids do no harm."""
     key = F.xxhash64("doc_id", "text")
     index = build_index(spark, docs, key, F.col("text"))
-    bad = search(spark, index, items).where(F.size("spans") > 0).select("key").distinct()
+    bad = table(spark, search(spark, index, items).where(F.size("spans") > 0).select("key").distinct(), "contaminated")
+    drop_tables(spark, index)
     return docs.withColumn("_key", key).join(bad, F.col("_key") == bad["key"], "left_anti").select(docs.columns)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, byte_class, chunks, crc_mod, fields, prepare, text_bytes, word_spans
+from quire.llm.common import SpanHasher, byte_class, chunks, crc_mod, fields, prepare, release, text_bytes, word_spans
 
 BITS = 20
 SAMPLE = 12_000  # labelled texts that are fitted, at most
@@ -157,7 +157,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = S
         for k in range(0, len(chunk), 256):
             rows = chunk.slice(k, 256)
             parts.append((np.asarray(rows.flatten()), np.asarray(rows.value_lengths(), np.int64)))
-    return fit(parts, np.asarray(got.column("label"), float))
+    label = np.asarray(got.column("label"), float)
+    del got
+    machine = fit(parts, label)
+    del parts
+    release(spark)
+    return machine
 
 
 def score(spark: SparkSession, df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
