@@ -336,7 +336,10 @@ def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame,
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, text, doc, n_shingles, component) for each row: component is the smallest id of its group, doc its other columns.
+    """(row, id, text, doc, n_shingles, component, group) for each row: component is the smallest id of its group, doc its other columns.
+
+    group numbers the groups themselves, which may share a smallest id or have
+    none; it is null where there are no shingles.
 
     Null texts and texts without words have no shingles and stay alone. Rows of
     one id and different texts are different rows; a null id counts for nothing
@@ -348,11 +351,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     comp = components(spark, links)
     labelled = groups.join(comp, F.col("class") == F.col("id"), "left").select("fp1", "fp2", "n_shingles", "low", "class", F.coalesce("component", "class").alias("c"))
     lows = labelled.groupBy("c").agg(F.min("low").alias("component"))
-    by_set = table(spark, labelled.join(lows, "c").select("fp1", "fp2", F.col("n_shingles").alias("m"), "component"), "components")
+    by_set = table(spark, labelled.join(lows, "c").select("fp1", "fp2", F.col("n_shingles").alias("m"), "component", F.col("c").alias("group")), "components")
     drop_tables(spark, groups, links, comp)
     rows = signs.select("row", "id", "text", "doc", "n_shingles", "fp1", "fp2")
     on = (rows["fp1"] == by_set["fp1"]) & (rows["fp2"] == by_set["fp2"]) & (rows["n_shingles"] == by_set["m"])
-    return rows.join(by_set, on, "left").select("row", "id", "text", "doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    return rows.join(by_set, on, "left").select("row", "id", "text", "doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), "group")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +367,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, the first of its smallest id. Rows without shingles all stay."""
     out = near_duplicates(spark, docs, key, text)
-    first = out.where(F.col("id").eqNullSafe(F.col("component")) & (F.col("n_shingles") > 0)).groupBy("component").agg(F.min("row").alias("row")).select("row")
+    first = out.where(F.col("id").eqNullSafe(F.col("component")) & (F.col("n_shingles") > 0)).groupBy("group").agg(F.min("row").alias("row")).select("row")
     alone = out.where("n_shingles = 0").select("row")
     keep = out.join(first.unionByName(alone), "row", "left_semi")
     return keep.select(*(F.col("text").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns))

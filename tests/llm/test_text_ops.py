@@ -82,6 +82,14 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert dedup.near_duplicates(spark, documents(spark, ["x"]).where("doc_id > 5")).count() == 0
 
 
+def test_unlike_texts_of_one_or_no_id_all_stay(spark):
+    a, b, c, d, e, f = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b", "1 2 3 4 5 6 7", "8 9 1 8 9 1 8")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, c), (5, d), (6, d), (7, e), (None, e), (None, None), (None, ""), (8, f)]
+    kept = dedup.without_near_duplicates(spark, documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3)).collect()
+    want = [(None, a), (None, b), (5, c), (5, d), (7, e), (8, f), (None, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
+
+
 def test_near_duplicates_carry_clashing_columns(spark):
     df = documents(spark, ["a b", "a b"]).withColumns({"row": F.lit(1), "id": F.lit("q"), "component": F.lit(2.5)})
     (r,) = dedup.without_near_duplicates(spark, df).collect()
