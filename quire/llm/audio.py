@@ -151,6 +151,7 @@ def parse(data: bytes) -> Stream:
     A header is taken only if another of the same version, layer and sample
     rate follows where it ends, or the data end there: payloads full of sync
     bytes don't mislead it. Runs of frames of one header are walked at once.
+    "TAG" 128 bytes before the end begins a tag unless a frame lies across it.
     """
     out, (at, out.tag) = Stream(), parse_tag(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
@@ -158,6 +159,10 @@ def parse(data: bytes) -> Stream:
     found: Frame | None = None
     while at < end:
         f = header(data, at)
+        if f and end < len(data) and at + f.length > end and (found is None or (f.version, f.layer, f.rate) == (found.version, found.layer, found.rate)):
+            g = header(data, at + f.length)
+            if at + f.length == len(data) or g and (g.version, g.layer, g.rate) == (f.version, f.layer, f.rate):
+                end = len(data)  # the letters are the frame's own
         ok = f and (found is None or (f.version, f.layer, f.rate) == (found.version, found.layer, found.rate)) and f.length >= 24 and at + f.length <= end
         if ok and at + f.length < end:
             g = header(data, at + f.length)

@@ -102,6 +102,19 @@ def test_media_resynchronises_and_reports_damage():
     assert (s.frames, s.samples, s.rate, s.version, s.layer) == (5, 5 * 1152, 44100, 1, 3)
 
 
+@pytest.mark.parametrize("text", [b"x" * 505 + b"TAG", b"y" * 576 * 3 + b"x" * 505 + b"TAG" + b"z" * 60, b"TAG" * 192, b"xTAG" * 1000])
+def test_payload_that_looks_like_a_tag(text):
+    payload = audio.padded(text)
+    media, real = audio.encode(payload), b"TAG" + bytes(124) + b"\xff"
+    for data in (media, media + real):
+        s = audio.parse(data)
+        assert audio.payload_of(data, s) == payload and (s.frames, s.skipped) == (len(payload) // 576, 0)
+    frame = bytes([0xFF, 0xFB, 0x90, 0xC4]) + bytes(285) + b"TAG" + bytes(125)
+    for n in (1, 3):
+        assert (audio.parse(frame * n).frames, audio.parse(frame * n + real).frames) == (n, n)
+    assert audio.parse(frame * 3 + frame[:200] + real).frames == 3  # a torn frame doesn't reach the end
+
+
 def test_media_column(spark):
     rows = [(1, None, ""), (2, "", ""), (3, "héllo" * 300, ""), (3, "héllo" * 300, "")]
     out = audio.text_to_media(documents(spark, rows), keep_media=True).orderBy("doc_id").collect()
