@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, byte_class, chunks, drop_tables, prepare, table, text_bytes, word_spans
+from quire.llm.common import SpanHasher, byte_class, chunks, drop_tables, numbered, prepare, table, text_bytes, word_spans
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
@@ -27,7 +27,7 @@ GAP = 1 << 10  # positions between two texts of a segment, more than any window
 
 WORD = byte_class(lambda b: not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) or 0x41 <= b <= 0x5A)
 
-SEGMENT = "rows array<bigint>, words array<bigint>, terms binary, counts binary, steps binary"
+SEGMENT = "rows array<bigint>, words array<bigint>, terms binary, counts binary, steps binary, base bigint"
 
 
 def hashed_words(buf: np.ndarray, off: np.ndarray, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
@@ -76,19 +76,19 @@ def unpacked(words: np.ndarray, terms: bytes, counts: bytes, steps: bytes) -> Po
 
 
 def build_index(spark: SparkSession, docs: DataFrame, key: Column, text: Column, name: str = "postings") -> DataFrame:
-    """Writes the index of docs: a row for each segment with its texts' keys (bigint), their numbers of words and the postings."""
+    """Writes the index of docs: a row for each segment with its texts' keys (bigint), their numbers of words, the postings and the number of the first text, which the others follow."""
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for b in batches:
+        for pid, seen, b in numbered(batches):
             buf, off = text_bytes(b.column(1))
             for i, j in chunks(off, SEGMENT_BYTES):
                 words, per = hashed_words(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher)
                 p = make_postings(words, per)
                 keys = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column(0).slice(i, j - i).cast(pa.int64()))
                 sizes = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), pa.array(p.words))
-                yield pa.RecordBatch.from_arrays([keys, sizes, *(pa.array([x], pa.binary()) for x in packed(p))], names=[x.split()[0] for x in SEGMENT.split(", ")])
+                yield pa.RecordBatch.from_arrays([keys, sizes, *(pa.array([x], pa.binary()) for x in packed(p)), pa.array([(pid << 40) + seen + i], pa.int64())], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     return table(spark, docs.select(key.cast("long").alias("key"), text.alias("text")).mapInArrow(run, SEGMENT), name)
 
@@ -204,6 +204,7 @@ def hits(p: Postings, q: Phrases, within: int = 0) -> list[tuple[int, list[list[
     return out
 
 
+FOUND = "number bigint, "  # of a text: repeated and null keys stay apart
 MATCH = "key bigint, n_words bigint, spans array<array<bigint>>, items array<string>"
 
 
@@ -219,9 +220,10 @@ def search_block(spark: SparkSession, index: DataFrame, phrases: Phrases, within
                 spans, items = [[] for _ in keys], [[] for _ in keys]
                 for t, s, i in hits(p, q, within):
                     spans[t], items[t] = s, [q.names[x] for x in i]
-                yield pa.RecordBatch.from_arrays([b.column(0)[k].values, pa.array(words), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[x.split()[0] for x in MATCH.split(", ")])
+                number = pa.array(b.column(5)[k].as_py() + np.arange(len(words), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([number, b.column(0)[k].values, pa.array(words), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[x.split()[0] for x in (FOUND + MATCH).split(", ")])
 
-    return index.mapInArrow(run, MATCH)
+    return index.mapInArrow(run, FOUND + MATCH)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +264,12 @@ def search(spark: SparkSession, index: DataFrame, items: DataFrame, item: str =
         got = queries.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
         found.append(search_block(spark, index, windows_of(got.column("item").to_pylist(), got.column("text").to_pylist(), window), within))
     if blocks == 1:
-        return found[0]
+        return found[0].drop("number")
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
-    return rows.groupBy("key", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")).mapInArrow(merged, MATCH)
+    whole = rows.groupBy("number", "key", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return whole.drop("number").mapInArrow(merged, MATCH)
 
 
 def digest(matches: DataFrame) -> DataFrame:

@@ -171,6 +171,16 @@ def test_phrases_equal_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+def test_blocks_of_phrases_keep_texts_of_one_key_apart(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "QUERY_BYTES", 20)
+    docs = [(1, "a b c d"), (1, "a b x x"), (1, "x x x x"), (None, "x x c d"), (None, "x x x x"), (None, "x x x x"), (1, "x x x x")]
+    items = [(1, "a b"), (2, "c d")]
+    df, it = documents(spark, [t for _, t in docs], [i for i, _ in docs]), spark.createDataFrame(items, "item_id bigint, text string")
+    out = phrases.digest(phrases.search(spark, phrases.build_index(spark, df, F.col("doc_id"), F.col("text")), it)).collect()
+    want = [brute_phrases([d], items)[0] for d in docs]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+
+
 def test_phrases_of_nothing(spark):
     df = documents(spark, ["a b c"])
     none = spark.createDataFrame([], "item_id bigint, text string")
