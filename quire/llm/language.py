@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-One array of cells serves all languages: a cell is a bitmask of languages, and
-an n-gram's languages are the AND of its cells. Of a text, each language counts
+One array of cells serves all languages: a cell is a bitmask of languages, of as
+many 64-bit words as they need, and an n-gram's languages are the AND of its cells. Of a text, each language counts
 the n-grams whose mask has its bit; counts are corrected for the filter's false
 positives, which follow from how full a language's slice is.
 """
@@ -21,14 +21,14 @@ from quire.llm.common import CHUNK_BYTES, chunks, crc_mod, fields, mixed, prepar
 SAMPLE = 4_000  # texts of a language that are learnt from, about, at most
 GRAMS = 30_000  # of a language that its filter holds
 CELLS, PROBES = 1 << 20, 3
-LANGUAGES = 64  # a mask's bits
+WORD = 64  # languages in a word of a mask
 N = 4  # letters, or the space between words, in an n-gram
 
 
 @dataclass
 class Filters:
     names: list[str]
-    cells: np.ndarray  # of masks
+    cells: np.ndarray  # of masks: a row for each word of them
     false_rate: np.ndarray  # of a language: chance that an n-gram it lacks passes
 
 
@@ -90,8 +90,8 @@ def decoded(b: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, list[str]
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Filters:
     """Filters from (hashes, counts) of each language: those n-grams that are more frequent there than in the mean of all."""
-    names = sorted(counts)[:LANGUAGES]
-    cells, filled = np.zeros(CELLS, np.uint64), np.zeros(len(names))
+    names = sorted(counts)
+    cells, filled = np.zeros((max(1, -(-len(names) // WORD)), CELLS), np.uint64), np.zeros(len(names))
     every = np.concatenate([counts[n][0] for n in names]) if names else np.zeros(0, np.uint64)
     share = np.concatenate([counts[n][1] / max(1, counts[n][1].sum()) for n in names]) if names else np.zeros(0)
     grams_, back = np.unique(every, return_inverse=True)
@@ -102,19 +102,23 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Filters:
         mean = total[np.searchsorted(grams_, h)] / len(names)
         good = (c >= 2) & (own >= mean)
         h = h[good][np.argsort(-c[good], kind="stable")[:GRAMS]]
+        word, bit = cells[k // WORD], np.uint64(k % WORD)
         for p in probes(h):
-            cells[p] |= np.uint64(1 << k)
-        filled[k] = ((cells >> np.uint64(k)) & np.uint64(1)).mean()
+            word[p] |= np.uint64(1) << bit
+        filled[k] = ((word >> bit) & np.uint64(1)).mean()
     return Filters(names, cells, filled**PROBES)
 
 
 def languages_of(f: Filters, gram: np.ndarray) -> np.ndarray:
-    """The mask of all languages whose filter holds each n-gram."""
+    """The words of the mask of all languages whose filter holds each n-gram: a row for each word."""
     first, *rest = probes(gram)
-    mask = f.cells[first]
-    for p in rest:
-        mask = mask & f.cells[p]
-    return mask
+    masks = []
+    for word in f.cells:
+        mask = word[first]
+        for p in rest:
+            mask = mask & word[p]
+        masks.append(mask)
+    return np.stack(masks)
 
 
 def decide(f: Filters, gram: np.ndarray, owner: np.ndarray, has: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -123,7 +127,7 @@ def decide(f: Filters, gram: np.ndarray, owner: np.ndarray, has: np.ndarray) ->
     mask = languages_of(f, gram)
     hits = np.zeros((len(has), max(1, len(f.names))))
     for k in range(len(f.names)):
-        hits[:, k] = np.bincount(owner, ((mask >> np.uint64(k)) & np.uint64(1)).astype(float), len(has))
+        hits[:, k] = np.bincount(owner, ((mask[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).astype(float), len(has))
     true = np.maximum(0, (hits - n[:, None] * f.false_rate) / (1 - f.false_rate)) if f.names else hits
     best, total = true.argmax(1), true.sum(1)
     known = has & bool(f.names)
@@ -133,13 +137,11 @@ def decide(f: Filters, gram: np.ndarray, owner: np.ndarray, has: np.ndarray) ->
 
 def learn(spark: SparkSession, docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters of the languages of docs (text, lang). About `sample` texts of a language are read, chosen by hash of the text;
-    GRAMS n-grams of each of 64 languages at most reach the driver."""
+    twice GRAMS n-grams of each language at most reach the driver, so what it holds grows with the languages."""
     prepare(spark)
     rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).alias("lang"), "text")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    cut = F.lit(None).cast("double")
-    for r in share:
-        cut = F.when(F.col("lang") == r["lang"], F.lit(sample / r["n"])).otherwise(cut)
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    cut = F.create_map(*(F.lit(x) for r in share for x in (r["lang"], sample / r["n"])))[F.col("lang")] if share else F.lit(None).cast("double")
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < cut)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -255,6 +255,16 @@ def test_languages(spark):
     assert {r._lang for r in language.identify(spark, more, empty).collect()} == {"und"}
 
 
+def test_more_languages_than_a_mask_word_holds(spark):
+    rng = random.Random(8)
+    make = lambda k: " ".join("".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(4)) for _ in range(2)) * 20
+    texts = [(k, make(k), f"l{k:03d}") for k in range(130) for _ in range(2)]
+    f = language.learn(spark, spark.createDataFrame(texts, "doc_id bigint, text string, lang string"))
+    assert f.names == [f"l{k:03d}" for k in range(130)]
+    out = language.identify(spark, spark.createDataFrame(texts, "doc_id bigint, text string, lang string"), f).collect()
+    assert [r._lang for r in out] == [r.lang for r in out]
+
+
 def test_bloom_slices_have_no_false_negatives_and_the_expected_false_positives():
     rng = np.random.default_rng(4)
     grams = {n: common.mixed(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for n in ("a", "b")}
