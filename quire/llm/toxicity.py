@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import SpanHasher, byte_class, chunks, crc_mod, fields, prepare, release, text_bytes, word_spans
 
 BITS = 20
-SAMPLE = 12_000  # labelled texts that are fitted, at most
+SAMPLE = 20_000  # labelled texts that are fitted, at most
 MIN_TEXTS = 4  # labelled texts that a term must occur in
 FACTORS = 8
 TERMS = 1 << 14  # that are fitted: those whose share of toxic texts is furthest from chance
@@ -133,7 +133,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     h = F.xxhash64(F.lit("fit"), F.col("doc_id"))
     picked = labels.where(F.col("doc_id").isNotNull()).orderBy(h, "doc_id").limit(most)
-    return picked.join(docs.select("doc_id", "text"), "doc_id")
+    # `most` ids and labels are small enough to broadcast, so texts stay where they are.
+    return F.broadcast(picked).join(docs.select("doc_id", "text"), "doc_id")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:

@@ -219,6 +219,15 @@ def test_machine_learns_an_interaction_that_linear_weights_cannot(spark):
     assert len(out) > 200 and right > 0.97
 
 
+def test_sample_of_a_machine(spark, monkeypatch):
+    n, seen = 20_100, []
+    monkeypatch.setattr(toxicity, "fit", lambda parts, label: seen.append((len(label), sum(len(size) for _, size in parts))))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    for most in (19_000, n):
+        toxicity.train(spark, docs, docs.where(F.col("doc_id") < most).select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert seen == [(19_000, 19_000), (20_000, 20_000)]
+
+
 def test_scores_of_odd_rows_and_untrained_machines(spark):
     docs = documents(spark, ["", None, "a " * 50_000, "x"])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
