@@ -13,13 +13,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import per_batch
+from quire.llm.common import column_of, per_batch, schema_with
 
 # Fixed values of the format: kbit/s by bit-rate index 1..14.
 RATES_V1_L1 = [32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448]
@@ -29,6 +29,12 @@ RATES_V2_L1 = [32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256]
 RATES_V2_L23 = [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]
 SAMPLE_RATES_V1 = [44100, 48000, 32000]
 CRC_POLYNOMIAL = 0x8005
+# Fixed values of the format, layer II: runs of (subbands, bits of their allocation).
+ALLOCATION_HIGH = [(11, 4), (12, 3), (4, 2)]  # up to 80 kbit/s a channel, or 48 kHz
+ALLOCATION_FULL = [(11, 4), (12, 3), (7, 2)]
+ALLOCATION_LOW = [(2, 4), (6, 3)]  # up to 48 kbit/s a channel
+ALLOCATION_LOW_32 = [(2, 4), (10, 3)]
+ALLOCATION_V2 = [(4, 4), (7, 3), (19, 2)]
 
 PAYLOAD = 576
 HEADER = bytes([0xFF, 0xF2, 0xD8, 0xC4])  # MPEG-2, Layer III, with checksum, 144 kbit/s, 16 kHz, mono
@@ -48,6 +54,9 @@ class Frame:
     layer: int
     mono: bool
     checked: bool
+    shared: int = 32  # first subband whose allocation both channels share (layers I and II)
+    hertz_class: int = 0
+    kbit: int = 0
 
 
 @dataclass
@@ -85,7 +94,8 @@ def header(data: bytes, at: int) -> Frame | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or v1 else 576
     length = (12 * bits // hertz + pad) * 4 if layer == 1 else samples // 8 * bits // hertz + pad
     checked = not b1 & 1
-    return Frame(at, length, samples, hertz, at + 4 + 2 * checked, {3: 1, 2: 2, 0: 25}[version], layer, b3 >> 6 == 3, checked)
+    shared = 4 * (b3 >> 4 & 3) + 4 if b3 >> 6 == 1 else 32
+    return Frame(at, length, samples, hertz, at + 4 + 2 * checked, {3: 1, 2: 2, 0: 25}[version], layer, b3 >> 6 == 3, checked, shared, freq, bits // 1000)
 
 
 def crc_table() -> np.ndarray:
@@ -103,6 +113,45 @@ def crc16(rows: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return crc
 
 
+def allocation_bits(f: Frame) -> list[int]:
+    """Bits of the allocation of each subband of a frame of layer I or II."""
+    if f.layer == 1:
+        return [4] * 32
+    each = f.kbit // (1 if f.mono else 2)
+    if f.version != 1:
+        runs = ALLOCATION_V2
+    elif each <= 48:
+        runs = ALLOCATION_LOW_32 if f.hertz_class == 2 else ALLOCATION_LOW
+    else:
+        runs = ALLOCATION_HIGH if f.hertz_class == 1 or each <= 80 else ALLOCATION_FULL
+    return [bits for n, bits in runs for _ in range(n)]
+
+
+def crc_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """Checksum of the first bits of data."""
+    for k in range(bits):
+        top = crc >> 15 ^ data[k >> 3] >> 7 - (k & 7) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (CRC_POLYNOMIAL if top else 0)
+    return crc
+
+
+def allocation_intact(data: bytes, f: Frame) -> bool:
+    """Whether the checksum of a frame of layer I or II holds: it covers the header's last two bytes, the allocation and, in layer II, how scale factors are shared."""
+    body = data[f.body : f.offset + f.length]
+    value, size, at, picks = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for band, bits in enumerate(allocation_bits(f)):
+        for _ in range(1 if f.mono or band >= f.shared else 2):
+            if at + bits > size:
+                return False
+            used = value >> size - at - bits & (1 << bits) - 1
+            at += bits
+            if used and f.layer == 2:
+                picks += 1 if f.mono or band < f.shared else 2
+    at += 2 * picks
+    want = int.from_bytes(data[f.offset + 4 : f.offset + 6], "big")
+    return at <= size and crc_bits(data[f.offset + 2 : f.offset + 4] + body, 16 + at) == want
+
+
 def side_size(f: Frame) -> int:
     return (17 if f.mono else 32) if f.version == 1 else 9 if f.mono else 17
 
@@ -130,23 +179,48 @@ def encode(payload: bytes) -> bytes:
     return tag + frames.tobytes()
 
 
+def number(data: bytes, at: int, size: int, bits: int = 8) -> int:
+    """Big-endian, of so many bits a byte; what lies past the end counts as 0."""
+    n = 0
+    for b in data[at : at + size].ljust(size, b"\0"):
+        n = n << bits | b
+    return n
+
+
 def parse_tag(data: bytes) -> tuple[int, dict]:
-    """Bytes of an ID3v2 tag at the start, and its text frames."""
+    """Bytes of an ID3v2 tag at the start, and its text frames as far as they go. A tag that is cut ends with the data."""
     if len(data) < 10 or data[:3] != b"ID3" or max(data[6:10]) > 127:
         return 0, {}
-    size = sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-    end, at, found = min(len(data), 10 + size), 10, {}
-    while at + 10 <= end and data[at : at + 4].isalnum():
-        n = sum(b << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0) if data[3] == 4 else (24, 16, 8, 0), strict=True))
+    end, at, found = min(len(data), 10 + number(data, 6, 4, 7)), 10, {}
+    while at + 10 < end and data[at : at + 4].isalnum():
+        n = number(data, at + 4, 4, 7 if data[3] == 4 else 8)
         if data[at : at + 1] == b"T" and n > 1:
             kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(data[at + 10], "latin-1")
-            found[data[at : at + 4].decode("latin-1")] = data[at + 11 : at + 10 + n].decode(kind, "replace")
+            found[data[at : at + 4].decode("latin-1")] = data[at + 11 : min(end, at + 10 + n)].decode(kind, "replace")
         at += 10 + n
-    return end + 10 * bool(data[5] & 16), found
+    return min(len(data), end + 10 * bool(data[5] & 16)), found
+
+
+def information(data: bytes, f: Frame) -> tuple[dict, bytes] | None:
+    """What the first frame of a Layer III stream may hold instead of sound: numbers of frames and bytes and the seek table, which is also given as its bytes. None of a common frame."""
+    frame = data[f.offset : f.offset + f.length]
+    at = f.body - f.offset + side_size(f)
+    if frame[at : at + 4] in (b"Info", b"Xing"):
+        flags, p, found = number(frame, at + 4, 4), at + 8, {}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                found[name] = number(frame, p, 4)
+                p += 4
+        return found, frame[p : p + 100] if flags & 4 else b""
+    if frame[36:40] == b"VBRI":
+        entries, scale, size = (number(frame, k, 2) for k in (54, 56, 58))
+        steps = [number(frame, 62 + size * k, size) * scale for k in range(entries) if 62 + size * (k + 1) <= len(frame)] if 0 < size <= 4 else []
+        return {"frames": number(frame, 50, 4), "bytes": number(frame, 46, 4), "each": number(frame, 60, 2), "steps": steps}, frame[62 : 62 + size * len(steps)]
+    return None
 
 
 def parse(data: bytes) -> Stream:
-    """Reads any MPEG audio stream. Never raises; what isn't a frame counts as skipped.
+    """Reads any MPEG audio stream, cut or damaged as it may be. Never raises; what isn't a frame counts as skipped.
 
     A header is taken only if another of the same version, layer and sample
     rate follows where it ends, or the data end there: payloads full of sync
@@ -188,21 +262,18 @@ def parse(data: bytes) -> Stream:
             covered = block[:, [2, 3, *range(6, 6 + m)]]
             want = block[:, 4].astype(np.uint16) << 8 | block[:, 5]
             out.bad_checksums += int((crc16(covered, crc_table()) != want).sum())
+        elif f.checked:
+            out.bad_checksums += sum(not allocation_intact(data, replace(f, offset=int(o), body=int(o) + f.body - at)) for o in offs[-1])
         out.samples += n * f.samples
         at += n * f.length
     if found is None:
         return out
     out.offsets, out.lengths, out.bodies = np.concatenate(offs), np.concatenate(lens), np.concatenate(bodies)
     out.rate, out.version, out.layer, out.mono = found.rate, found.version, found.layer, found.mono
-    first = int(out.bodies[0]) + (side_size(found) if found.layer == 3 else 0)
-    if data[first : first + 4] in (b"Info", b"Xing"):
-        flags, p = struct.unpack(">I", data[first + 4 : first + 8])[0], first + 8
-        for bit, name in ((1, "frames"), (2, "bytes")):
-            if flags & bit:
-                out.table[name] = struct.unpack(">I", data[p : p + 4])[0]
-                p += 4
-        out.toc = data[p : p + 100] if flags & 4 else b""
-        out.samples -= header(data, int(out.offsets[0])).samples
+    first = header(data, int(out.offsets[0]))
+    if found.layer == 3 and (said := information(data, first)):
+        out.table, out.toc = said
+        out.samples -= first.samples
         out.offsets, out.lengths, out.bodies = out.offsets[1:], out.lengths[1:], out.bodies[1:]
     out.frames, out.duration = len(out.offsets), out.samples / out.rate
     return out
@@ -233,7 +304,6 @@ def text_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     independent: repeated rows repeat, an empty table gives none, and columns
     of df besides the two are not read. keep_media adds the value itself.
     """
-    kind = dict(df.dtypes)[id_col]
 
     def store(b: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -248,8 +318,8 @@ def text_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=["id", *(x.split()[0] for x in MEDIA.split(", ")), *(["media"] * keep_media)])
 
-    picked = df.select(id_col, text_col)
-    return picked.mapInArrow(per_batch(store), f"id {kind}, {MEDIA}" + ", media binary" * keep_media).withColumnRenamed("id", id_col)
+    picked = df.select(column_of(df, id_col).alias("id"), column_of(df, text_col).alias("text"))
+    return picked.mapInArrow(per_batch(store), schema_with(picked.select("id"), MEDIA + ", media binary" * keep_media)).withColumnRenamed("id", id_col)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 18  # of text that is worked on at a time; a longer text is a chunk of its own
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -22,51 +23,78 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local session without one, as in tests, gets a temporary folder; on a cluster its lack is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        own = tempfile.mkdtemp(prefix="quire-")
-        atexit.register(shutil.rmtree, own, True)
-        sc.setCheckpointDir(f"file://{own}")
-        where = sc._jsc.sc().getCheckpointDir().get()
-    return where
+    if where:
+        return where.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, own, True)
+    sc.setCheckpointDir(f"file://{own}")
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and lost executors lose nothing of it."""
-    path = f"{shared_dir(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """Writes df, which is dealt by key to n partitions, so that joins on key don't shuffle it again."""
+@contextmanager
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> Iterator[DataFrame]:
+    """df, which is dealt by key to n partitions, as a table on which joins by key don't shuffle it again; it lasts as long as the block."""
     made = f"quire_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/quire/{made}"
+    path = f"{shared_dir(spark)}/quire/{made}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(made)
-    return spark.table(made)
+    try:
+        yield spark.table(made)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {made}")
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes the files of tables that nothing will read again; what was made of them has been written itself."""
-    jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for df in tables for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+    for path in {x.rpartition("/")[0] for df in tables for x in df.inputFiles()}:
+        delete(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Between phases: Spark drops the shuffle files and broadcasts of plans that are done once the driver's garbage is collected, which may otherwise take long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+# --- rows --------------------------------------------------------------------
 
 
-# --- rows --------------------------------------------------------------------
+def boxed(df: DataFrame) -> DataFrame:
+    """df as one column `doc`, a struct of all its columns: whatever they are called, they clash with no column that an operator adds."""
+    return df.select(F.struct("*").alias("doc"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    """The columns of boxed() again, as they were."""
+    return df.select("doc.*")
+
+
+def column_of(df: DataFrame, name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def part(b: pa.RecordBatch, place: int) -> pa.Array:
+    """A column of the struct that leads a batch of boxed rows."""
+    return b.column(0).field(place)
+
+
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """The columns of df and those of a DDL string. A schema, not a DDL string: names need no quotes there."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
 def crc_mod(col: Column, n: int) -> Column:
@@ -185,11 +213,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def fields(df: DataFrame) -> list[str]:
-    """The columns as DDL."""
-    return [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema]
-
-
 def unit_interval(*cols: Column) -> Column:
     """A uniform number inside (0, 1) from a hash of the values; null is a value like any other."""
     h = F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("\0null")) for c in cols))
@@ -207,18 +230,14 @@ def dense_index(spark: SparkSession, df: DataFrame, name: str, index: str = "_in
         for pid, seen, b in numbered(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(np.arange(seen, seen + b.num_rows, dtype=np.int64))], names=[*names, "_part", "_local"])
 
-    return add_bases(table(spark, df.mapInArrow(number, ", ".join([*fields(df), "_part int, _local bigint"])), name), index)
-
-
-MOST_PARTS = 100_000  # input partitions whose counts, 16 bytes each, may be broadcast
+    return add_bases(table(spark, df.mapInArrow(number, schema_with(df, "_part int, _local bigint")), name), index)
 
 
 def add_bases(placed: DataFrame, index: str) -> DataFrame:
-    """Turns _part and _local of a table() into one gapless number. The window holds one row for each partition.
+    """Turns _part and _local of a table() into one gapless number.
 
-    Every partition has written a file at least, so the files bound the counts' size: up to MOST_PARTS they are broadcast, and wide rows stay where they are.
+    What is broadcast is a row of 16 bytes for each task that wrote the table; Spark's driver held each of those tasks, at many times that size.
     """
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    base = F.broadcast(base) if len(placed.inputFiles()) <= MOST_PARTS else base
-    return placed.join(base, "_part").withColumn(index, F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")
+    return placed.join(F.broadcast(base), "_part").withColumn(index, F.col("_base") + F.col("_local")).drop("_part", "_local", "_base")

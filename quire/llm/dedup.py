@@ -9,9 +9,10 @@
    estimates high similarities closely. The rest are confirmed on full sets.
 3. Components of the confirmed links. A bucket whose classes all lie in one
    component needs no more pairs, however large it is. In the others, classes
-   with a partner of another component that the sketches allow are read again,
-   block by block, and their whole sets compared there: what leaves a block is
-   no more than the links that tie its components together.
+   outside the largest component are compared with all of other components:
+   those with a partner that the sketches allow are read again, block by block,
+   and their whole sets compared there. What leaves a block is no more than the
+   links that tie its components together.
 4. Components again, now of all links.
 
 A pair of similarity 0.75 shares no band with a chance of 5e-6; the sketch
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quire.llm.common import SpanHasher, bucketed, byte_class, chunks, drop_tables, fields, mixed, numbered, prepare, release, table, text_bytes, word_spans
+from quire.llm.common import SpanHasher, bucketed, byte_class, chunks, column_of, drop_tables, mixed, numbered, prepare, table, text_bytes, word_spans
 from quire.llm.components import components
 
 SHINGLE = 5
@@ -36,7 +38,9 @@ HASHES = BANDS * ROWS
 SKETCH = 512  # bits
 SIMILAR = 0.75
 PLAUSIBLE = 0.45  # estimated similarity under which a pair of 0.75 hardly falls
-BLOCK = 1024  # classes of a bucket that are compared at once
+PAIRS = 256  # of a bucket's size, that share a copy of its first text, about
+PER_ROOT = 8  # classes of a block for each unit of the root of its bucket's size
+BLOCK_SHINGLES = 4 << 20  # of a block, about, at most
 TILE = 8 << 20  # bytes of their texts whose sets are held at once
 
 WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
@@ -146,9 +150,10 @@ def sign(spark: SparkSession, docs: DataFrame, key: str, text: str) -> DataFrame
             row = pa.array((pid << 40) + seen + np.arange(b.num_rows, dtype=np.int64))
             yield from signed(pa.RecordBatch.from_arrays([row, *b.columns], names=["row", "id", "text", "doc"]), 2, hasher)
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    plain = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.struct(*rest).alias("doc"))
-    return table(spark, plain.mapInArrow(run, ", ".join(["row bigint", *fields(plain), SIGNED])), "signatures")
+    rest = [column_of(docs, c) for c in docs.columns if c != text]
+    plain = docs.select(column_of(docs, key).alias("id"), column_of(docs, text).alias("text"), F.struct(*rest).alias("doc"))
+    kinds = [*StructType.fromDDL("row bigint").fields, *plain.schema.fields, *StructType.fromDDL(SIGNED).fields]
+    return table(spark, plain.mapInArrow(run, StructType(kinds)), "signatures")
 
 
 def xor_bits() -> Column:
@@ -156,14 +161,23 @@ def xor_bits() -> Column:
     return sum(parts[1:], parts[0])
 
 
-def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose sketches allow the similarity."""
+def salted(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """rows, which have a column b, once for each salt of that leader."""
+    return rows.join(leaders, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a, b, salt) of classes whose sketches allow the similarity."""
     one, two = sketches.select(F.col("row").alias("a"), F.col("sketch").alias("s1")), sketches.select(F.col("row").alias("b"), F.col("sketch").alias("s2"))
-    return pairs.join(one, "a").join(two, "b").where(xor_bits() <= most_bits(PLAUSIBLE)).select("a", "b")
+    return pairs.join(one, "a").join(salted(two, leaders), ["b", "salt"]).where(xor_bits() <= most_bits(PLAUSIBLE)).select("a", "b", "salt")
 
 
-def confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= 75 * union of their whole shingle sets. Rows come by b, whose set is kept for the next."""
+def confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= 75 * union of their whole shingle sets.
+
+    pairs has (a, b, salt): the pairs of one b are dealt out by salt, each with
+    its copy of b's text. Rows come by b, whose set is kept for the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, last, theirs = SpanHasher(), None, np.zeros(0, np.uint64)
@@ -188,47 +202,52 @@ def confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFr
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     one, two = texts.select(F.col("row").alias("a"), F.col("text").alias("t1")), texts.select(F.col("row").alias("b"), F.col("text").alias("t2"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2")
+    rows = pairs.join(one, "a").join(salted(two, leaders), ["b", "salt"]).select("a", "b", "t1", "t2")
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each block pair (key, i, j), which lead the columns; rows come in their order."""
     held, now = [], None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != now:
-                if held:
-                    yield held
-                now, held = row[:3], []
-            held.append(row)
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            mark = tuple(marks[x].tolist())
+            if mark != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = mark
+            held.append(batch.slice(x, y - x))
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
 
 
-def sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """The rows of blocks i and j. Where they are one block, it stands on both sides."""
-    left = [r for r in rows if r[3]]
-    return left, left if rows[0][1] == rows[0][2] else [r for r in rows if not r[3]]
+def sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of blocks i and j. Where they are one block, it stands on both sides."""
+    left = rows.column(3).to_numpy()
+    one = np.flatnonzero(left)
+    return one, one if rows.column(1)[0] == rows.column(2)[0] else np.flatnonzero(~left)
 
 
 def worth_reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, i, j, left, row, component, sketch), those with a partner of another component that the sketches allow."""
     most = most_bits(PLAUSIBLE)
     for rows in groups_of(batches):
-        left, right = sides(rows)
-        keep: set[int] = set()
-        if left and right:
-            comp, row = np.array([r[5] for r in right]), np.array([r[4] for r in right])
-            sketch = np.array([r[6] for r in right]).view(np.uint64)
-            for r in left:
-                # Unsigned words: of signed ones the bits of the absolute value would be counted.
-                far = np.bitwise_count(sketch ^ np.array(r[6]).view(np.uint64)).sum(1, dtype=np.int64)
-                ok = row[(far <= most) & (comp != r[5])]
-                if len(ok):
-                    keep.update(ok.tolist(), (r[4],))
-        rows = [r[:6] for r in rows if r[4] in keep]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()], strict=True)], names=["key", "i", "j", "left", "row", "component"])
+        one, two = sides(rows)
+        # Unsigned words: of signed ones the bits of the absolute value would be counted.
+        sketch = np.asarray(rows.column(6).combine_chunks().flatten()).view(np.uint64).reshape(rows.num_rows, -1)
+        comp, keep = rows.column(5).to_numpy(), np.zeros(rows.num_rows, bool)
+        theirs, their_comp = sketch[two], comp[two]
+        for k in one.tolist():
+            far = np.bitwise_count(theirs ^ sketch[k]).sum(1, dtype=np.int64)
+            ok = (far <= most) & (their_comp != comp[k])
+            if ok.any():
+                keep[two[ok]] = keep[k] = True
+        if keep.any():
+            yield from rows.select(range(6)).filter(pa.array(keep)).to_batches()
 
 
 def intersections(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -258,80 +277,98 @@ def intersections(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
 def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, i, j, left, row, component, text), links that tie components together: whole sets of all pairs are compared, and only links that tie what this block pair hasn't tied yet are given."""
     hasher = SpanHasher()
-
-    def tiles(rows: list[tuple]) -> list[list[tuple]]:
-        off = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])])
-        return [rows[a:b] for a, b in chunks(off, TILE)]
-
-    def sets_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        buf, off = text_bytes(pa.array([r[6] for r in rows], pa.large_string()))
-        parts = [distinct_sets(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher)) for i, j in chunks(off)]
-        sizes = np.concatenate([np.diff(at) for _, at in parts])
-        return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
-
     for rows in groups_of(batches):
-        left, right = sides(rows)
+        text, row, comp = rows.column(6).cast(pa.large_string()).combine_chunks(), rows.column(4).to_numpy(), rows.column(5).to_numpy()
         root: dict[int, int] = {}
 
+        def sets_of(place: np.ndarray, text: pa.Array = text) -> tuple[np.ndarray, np.ndarray]:
+            buf, off = text_bytes(text.take(pa.array(place)))
+            parts = [distinct_sets(*shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher)) for i, j in chunks(off)]
+            return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in parts]))])
+
+        def tiles(place: np.ndarray, text: pa.Array = text) -> list[np.ndarray]:
+            off = text_bytes(text.take(pa.array(place)))[1]
+            return [place[i:j] for i, j in chunks(off, TILE)]
+
         def find(x: int, root: dict[int, int] = root) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
             return x
 
         found = []
-        for x in tiles(left):
+        one, two = sides(rows)
+        for x in tiles(one):
             own = sets_of(x)
-            for y in tiles(right):
-                other = own if y == x else sets_of(y)
+            for y in tiles(two):
+                other = own if y is x else sets_of(y)
                 both = intersections(own, other)
                 union = np.diff(own[1])[:, None] + np.diff(other[1])[None, :] - both
-                for p, q in np.argwhere((100 * both >= 75 * union) & (both > 0)).tolist():
-                    c, d = find(x[p][5]), find(y[q][5])
+                near = (100 * both >= 75 * union) & (both > 0) & (comp[x][:, None] != comp[y][None, :])
+                for p, q in np.argwhere(near).tolist():
+                    c, d = find(int(comp[x[p]])), find(int(comp[y[q]]))
                     if c != d:
                         root[max(c, d)] = min(c, d)
-                        found.append((max(x[p][4], y[q][4]), min(x[p][4], y[q][4])))
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                        found.append(sorted((int(row[x[p]]), int(row[y[q]])), reverse=True))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def open_links(spark: SparkSession, members: DataFrame, reps: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """Links (a, b) between different components of links, from the buckets whose classes lie in several of them."""
+    """Links (a, b) between different components of links, from the buckets whose classes lie in several of them.
+
+    In such a bucket the classes outside its largest component meet all others;
+    those inside it meet only these. Blocks of classes are compared pair by pair
+    of blocks: of PER_ROOT * sqrt(n) classes, so that a class is copied sqrt(n) /
+    PER_ROOT times at most, and fewer where their sets are large.
+    """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     comp = components(spark, links, rounds=2)  # classes that are still apart are only compared once more
-    labelled = members.where("n > 2").join(comp, F.col("a") == F.col("id"), "left").select("key", "a", "n", F.coalesce("component", "a").alias("component"))
-    labelled = table(spark, labelled, "open")
-    keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rows = labelled.join(keys, "key", "left_semi").join(reps.select(F.col("row").alias("a"), "sketch"), "a")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "a"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), F.col("a").alias("row"), "component", "sketch")
-    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    own = members.where("n > 2").join(comp, F.col("a") == F.col("id"), "left").select("key", "a", F.coalesce("component", "a").alias("component"))
+    labelled = table(spark, own.join(reps.select(F.col("row").alias("a"), "n_shingles"), "a"), "open")
+    parts_ = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    whole = parts_.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    per = F.least(PER_ROOT * F.sqrt("n"), F.col("n") * float(BLOCK_SHINGLES) / F.col("size"))
+    keys = whole.select("key", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / per).cast("int").alias("few"), F.ceil(F.col("top.n") / per).cast("int").alias("many"))
+    rows = labelled.join(keys, "key").withColumn("inside", F.col("component") == F.col("top"))
+    hashed = F.xxhash64(F.lit(3), "a")
+    rows = rows.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), F.col("a").alias("row"), "component")
+    drawn = rows.join(reps.select("row", "sketch"), "row").select("key", "i", "j", "left", "row", "component", "sketch")
+    dealt = drawn.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     read = dealt.mapInArrow(worth_reading, "key bigint, i int, j int, left boolean, row bigint, component bigint")
-    whole = read.join(texts, "row").select("key", "i", "j", "left", "row", "component", "text")
-    found = whole.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(exact_links, "a bigint, b bigint").distinct()
+    whole_texts = read.join(texts, "row").select("key", "i", "j", "left", "row", "component", "text")
+    found = whole_texts.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(exact_links, "a bigint, b bigint").distinct()
     found = table(spark, found, "links")
     drop_tables(spark, labelled, comp)
     return found
 
 
 def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fp1, fp2, n_shingles, class, low) of each class of equal sets, low its smallest id; and confirmed links (a, b) between classes."""
+    """(fp1, fp2, n_shingles, class, low) of each class of equal sets, low its smallest id; and confirmed links (a, b) between classes.
+
+    No step deals rows by band key or by leader alone except joins and partial
+    aggregates, which Spark can split: a bucket may hold any share of the classes.
+    """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     same = ["fp1", "fp2", "n_shingles"]
     groups = table(spark, signs.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("class"), F.min("id").alias("low")), "classes")
     first = signs.join(groups.select(F.col("class").alias("row")), "row", "left_semi")
-    reps = table(spark, first.select("row", "bands", "sketch"), "sketches")
-    buckets = reps.select("row", F.explode("bands").alias("key")).repartition(n, "key")
-    shared = buckets.groupBy("key").agg(F.min("row").alias("b"), F.max("row").alias("top"), F.count("*").alias("n")).where("b < top")
-    members = table(spark, buckets.join(shared.select("key", "b", "n"), "key").select("key", F.col("row").alias("a"), "b", "n"), "buckets")
+    reps = table(spark, first.select("row", "n_shingles", "bands", "sketch"), "sketches")
+    buckets = reps.select("row", F.explode("bands").alias("key"))
+    shared = table(spark, buckets.groupBy("key").agg(F.min("row").alias("b"), F.count("*").alias("n")).where("n > 1"), "shared")
+    # A class that leads several buckets has salts for the largest of them.
+    leaders = table(spark, shared.groupBy("b").agg(F.ceil(F.max("n") / PAIRS).cast("int").alias("salts")), "leaders")
+    members = table(spark, buckets.join(shared.join(leaders, "b"), "key").select("key", F.col("row").alias("a"), "b", "n", "salts"), "buckets")
     # Verification reads texts by row many times: those that share a bucket are dealt out once and stay so.
     shared_rows = members.select(F.col("a").alias("row")).distinct()
-    texts = bucketed(spark, signs.where("n_shingles > 0").select("row", "text").repartition(n, "row").join(shared_rows, "row", "left_semi"), "texts", "row", n)
-    star = plausible(members.where("a <> b").select("a", "b").distinct(), reps)
-    links = table(spark, confirmed(spark, star, texts), "links")
-    release(spark)
-    links = links.unionByName(open_links(spark, members, reps, texts, links))
-    drop_tables(spark, reps, members, texts)
+    dealt = signs.where("n_shingles > 0").select("row", "text").repartition(n, "row").join(shared_rows, "row", "left_semi")
+    with bucketed(spark, dealt, "texts", "row", n) as texts:
+        salt = F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")
+        star = plausible(members.where("a <> b").select("a", "b", salt).distinct(), reps, leaders)
+        links = table(spark, confirmed(spark, star, texts, leaders), "links")
+        links = links.unionByName(open_links(spark, members, reps, texts, links))
+    drop_tables(spark, reps, shared, leaders, members)
     return groups, links
 
 
@@ -346,7 +383,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     in a group's smallest id, which is null where all are. An empty table gives
     an empty result; columns of any name are carried along unread.
     """
-    signs = sign(spark, docs, key, text)
+    return with_components(spark, sign(spark, docs, key, text))
+
+
+def with_components(spark: SparkSession, signs: DataFrame) -> DataFrame:
     groups, links = classes_and_links(spark, signs)
     comp = components(spark, links)
     labelled = groups.join(comp, F.col("class") == F.col("id"), "left").select("fp1", "fp2", "n_shingles", "low", "class", F.coalesce("component", "class").alias("c"))
@@ -365,11 +405,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, the first of its smallest id. Rows without shingles all stay."""
-    out = near_duplicates(spark, docs, key, text)
+    """One row of each group, the first of its smallest id. Rows without shingles all stay. Columns of any name are carried along."""
+    signs = sign(spark, docs, key, text)
+    out = with_components(spark, signs).select("row", "id", "n_shingles", "component", "group")
     first = out.where(F.col("id").eqNullSafe(F.col("component")) & (F.col("n_shingles") > 0)).groupBy("group").agg(F.min("row").alias("row")).select("row")
-    alone = out.where("n_shingles = 0").select("row")
-    keep = out.join(first.unionByName(alone), "row", "left_semi")
+    keep = signs.select("row", "text", "doc").join(first.unionByName(signs.where("n_shingles = 0").select("row")), "row", "left_semi")
     return keep.select(*(F.col("text").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 

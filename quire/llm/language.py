@@ -1,25 +1,32 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
 One array of cells serves all languages: a cell is a bitmask of languages, of as
-many 64-bit words as they need, and an n-gram's languages are the AND of its cells. Of a text, each language counts
-the n-grams whose mask has its bit; counts are corrected for the filter's false
-positives, which follow from how full a language's slice is.
+many 64-bit words as they need, and the AND of an n-gram's cells has the bits of
+all languages that contain it. Of a text, each language counts the n-grams whose
+mask has its bit; counts are corrected for the filter's false positives, which
+follow from how full a language's slice is, and the greatest decides.
+
+The cells are filled on the executors. What reaches the driver is the array
+itself: 8 MB for each 64 languages, however much is learnt.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import CHUNK_BYTES, chunks, crc_mod, fields, mixed, prepare, text_bytes
+from quire.llm.common import CHUNK_BYTES, boxed, chunks, column_of, crc_mod, drop_tables, mixed, part, prepare, schema_with, text_bytes
+from quire.llm.common import table as write
 
-SAMPLE = 4_000  # texts of a language that are learnt from, about, at most
-GRAMS = 30_000  # of a language that its filter holds
+SAMPLE = 4_000  # different texts of a language that are learnt from, about, at most
+FLOOR = 0.05  # of an n-gram's rate in the language where it is most frequent: under that it is taken for a stray quotation
 CELLS, PROBES = 1 << 20, 3
 WORD = 64  # languages in a word of a mask
 N = 4  # letters, or the space between words, in an n-gram
@@ -32,14 +39,13 @@ class Filters:
     false_rate: np.ndarray  # of a language: chance that an n-gram it lacks passes
 
 
+@functools.cache
 def letters() -> np.ndarray:
-    """For each code point: 0 no letter, else its lower-case form."""
-    t = np.zeros(0x110000, np.uint32)
-    for c in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x1F000)):
+    """For each code point: 0 if it is no letter, else its lower-case form."""
+    t = np.zeros(sys.maxunicode + 1, np.uint32)
+    for c in range(len(t)):
         if (s := chr(c)).isalpha():
             t[c] = ord(s.lower()[0])
-    for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x32400)):
-        t[a:b] = np.arange(a, b)
     return t
 
 
@@ -82,31 +88,18 @@ def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mixed(h[ok]), owner[:m][ok], has
 
 
-def decoded(b: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, list[str]]]:
-    buf, off = text_bytes(b.column(place))
+def decoded(col: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    buf, off = text_bytes(col)
     for i, j in chunks(off, CHUNK_BYTES):
         yield i, j, [bytes(buf[off[k] : off[k + 1]]).decode("utf-8", "replace") for k in range(i, j)]
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Filters:
-    """Filters from (hashes, counts) of each language: those n-grams that are more frequent there than in the mean of all."""
-    names = sorted(counts)
-    cells, filled = np.zeros((max(1, -(-len(names) // WORD)), CELLS), np.uint64), np.zeros(len(names))
-    every = np.concatenate([counts[n][0] for n in names]) if names else np.zeros(0, np.uint64)
-    share = np.concatenate([counts[n][1] / max(1, counts[n][1].sum()) for n in names]) if names else np.zeros(0)
-    grams_, back = np.unique(every, return_inverse=True)
-    total = np.bincount(back, share, len(grams_))
-    for k, n in enumerate(names):
-        h, c = counts[n]
-        own = c / max(1, c.sum())
-        mean = total[np.searchsorted(grams_, h)] / len(names)
-        good = (c >= 2) & (own >= mean)
-        h = h[good][np.argsort(-c[good], kind="stable")[:GRAMS]]
-        word, bit = cells[k // WORD], np.uint64(k % WORD)
-        for p in probes(h):
-            word[p] |= np.uint64(1) << bit
-        filled[k] = ((word >> bit) & np.uint64(1)).mean()
-    return Filters(names, cells, filled**PROBES)
+def filters(names: list[str], word: np.ndarray, cell: np.ndarray, mask: np.ndarray) -> Filters:
+    """Filters from the masks of their filled cells."""
+    cells = np.zeros((max(1, -(-len(names) // WORD)), CELLS), np.uint64)
+    cells[word, cell] = mask
+    filled = [((cells[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(names))]
+    return Filters(names, cells, np.array(filled) ** PROBES)
 
 
 def languages_of(f: Filters, gram: np.ndarray) -> np.ndarray:
@@ -135,62 +128,91 @@ def decide(f: Filters, gram: np.ndarray, owner: np.ndarray, has: np.ndarray) ->
     return [f.names[b] if k else "und" for b, k in zip(best, known, strict=True)], score
 
 
-def learn(spark: SparkSession, docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters of the languages of docs (text, lang). About `sample` texts of a language are read, chosen by hash of the text;
-    twice GRAMS n-grams of each language at most reach the driver, so what it holds grows with the languages."""
+def counted(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of rows (lang, text), language numbers; summed up as far as memory allows."""
+    lang, gram, held = [], [], 0
+
+    def summed() -> pa.RecordBatch:
+        h, k = np.concatenate(gram), np.concatenate(lang)
+        order = np.lexsort((h, k))
+        h, k = h[order], k[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(h[new].view(np.int64)), pa.array(np.diff(np.append(new, len(h))))], names=["lang", "gram", "n"])
+
+    for b in batches:
+        names = b.column(0).to_numpy()
+        for i, _, texts in decoded(b.column(1)):
+            h, owner, _ = grams(texts, table)
+            lang.append(names[i + owner])
+            gram.append(h)
+            held += len(h)
+            if held > 1_000_000:
+                yield summed()
+                lang, gram, held = [], [], 0
+    if held:
+        yield summed()
+
+
+def learn(spark: SparkSession, docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> Filters:
+    """Filters of the languages of docs.
+
+    Of a language about `sample` different texts are read at most, those of the
+    smallest hashes; a text counts once however often it is repeated. An n-gram
+    belongs to every language whose texts have it twice at least, and not under
+    FLOOR of its rate in another. Rows without a text or a language teach nothing.
+    """
     prepare(spark)
-    rows = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).alias("lang"), "text")
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    cut = F.create_map(*(F.lit(x) for r in share for x in (r["lang"], sample / r["n"])))[F.col("lang")] if share else F.lit(None).cast("double")
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < cut)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = letters(), {}
-        for b in batches:
-            names = b.column(0).to_pylist()
-            for i, _, texts in decoded(b, 1):
-                h, owner, _ = grams(texts, table)
-                for name in set(names[i : i + len(texts)]):
-                    mine = np.array([x == name for x in names[i : i + len(texts)]])
-                    held.setdefault(name, []).append(h[mine[owner]])
-                    if sum(map(len, held[name])) > 2_000_000:  # what is held stays bounded
-                        yield counted(name, held.pop(name))
-        for name, parts in held.items():
-            yield counted(name, parts)
-
-    def counted(name: str, parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    by = picked.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = by.withColumn("r", rank).where(F.col("r") <= 2 * GRAMS).select("lang", "gram", "n").toArrow()
-    names, gram, n = np.asarray(top.column("lang")), np.asarray(top.column("gram")).view(np.uint64), np.asarray(top.column("n"), float)
-    return build({x: (gram[names == x], n[names == x]) for x in {r["lang"] for r in share}})
+    rows = docs.where(column_of(docs, lang).isNotNull() & column_of(docs, text).isNotNull()).select(column_of(docs, lang).alias("lang"), column_of(docs, text).alias("text"))
+    h = F.xxhash64("text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}
+    names = sorted(sizes)
+    if not names:
+        return filters([], *(np.zeros(0, np.int64) for _ in range(3)))
+    known = spark.createDataFrame([(n, k, sample / sizes[n]) for k, n in enumerate(names)], "lang string, number int, share double")
+    # A row for each language, which the driver has held.
+    picked = rows.join(F.broadcast(known), "lang").where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    texts = picked.groupBy("number", h.alias("hash")).agg(F.first("text").alias("text")).select("number", "text")
+    table = spark.sparkContext.broadcast(letters())
+    each = texts.mapInArrow(lambda bs: counted(bs, table.value), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    each = write(spark, each, "grams")
+    rate = F.col("n") / F.col("total")
+    rated = each.join(F.broadcast(each.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").select("lang", "gram", rate.alias("rate"))
+    top = rated.groupBy("gram").agg(F.max("rate").alias("top"))
+    members = rated.join(top, "gram").where(F.col("rate") >= F.col("top") * FLOOR)
+    cell = F.explode(F.array(*(F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit(CELLS - 1)) for k in range(PROBES))))
+    bit = F.expr(f"shiftleft(1L, lang % {WORD})")
+    filled = members.select(F.floor(F.col("lang") / WORD).alias("word"), cell.alias("cell"), bit.alias("bit")).groupBy("word", "cell").agg(F.bit_or("bit").alias("mask")).toArrow()
+    out = filters(names, *(np.asarray(filled.column(c)) for c in ("word", "cell")), np.asarray(filled.column("mask")).view(np.uint64))
+    drop_tables(spark, each)
+    return out
 
 
 def identify(spark: SparkSession, df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """df with _lang and _score (0 to 1). `und` and 0 where the text is null or has no letter. Rows are independent."""
+    """(doc, lang, score) for each row: doc is the row as a struct, so its names clash with none; score is 0 to 1.
+
+    `und` and 0 where the text is null or has no letter. Of languages that count
+    the same the first by name wins. Texts are read whole, one long text at a
+    time; rows are independent: repeated rows repeat, an empty table gives none.
+    """
     prepare(spark)
-    names, model = df.columns, spark.sparkContext.broadcast(vars(filters))
-    place = names.index(text_col)
+    rows, model, known = boxed(df), spark.sparkContext.broadcast(vars(filters)), spark.sparkContext.broadcast(letters())
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, f = letters(), Filters(**model.value)
+        f = Filters(**model.value)
         for b in batches:
             lang, score = [], []
-            for _, _, texts in decoded(b, place):
-                got = decide(f, *grams(texts, table))
+            for _, _, texts in decoded(part(b, place)):
+                got = decide(f, *grams(texts, known.value))
                 lang += got[0]
                 score.append(got[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc", "lang", "score"])
 
-    return df.mapInArrow(run, ", ".join([*fields(df), "_lang string, _score double"]))
+    return rows.mapInArrow(run, schema_with(rows, "lang string, score double"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from the rows that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    held = crc_mod(F.col("doc_id"), 4) == 2
-    out = identify(spark, docs.select("doc_id", "text"), learn(spark, docs.where(~held)))
-    return out.select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    out = identify(spark, docs.select("doc_id", "text"), learn(spark, docs.where(crc_mod(F.col("doc_id"), 4) != 2)))
+    return out.select("doc.doc_id", (crc_mod(F.col("doc.doc_id"), 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_class, chunks, dense_index, fields, per_batch, prepare, release, table, text_bytes, unit_interval, word_spans
+from quire.llm.common import byte_class, chunks, column_of, dense_index, part, per_batch, prepare, schema_with, table, text_bytes, unboxed, unit_interval, word_spans
 
 MOST_COPIES = 3.0
 DIGIT, LEVELS = 13, 4  # 52 bits of rank
@@ -31,19 +31,23 @@ DIGIT, LEVELS = 13, 4  # 52 bits of rank
 WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
 
-def with_word_count(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the number of runs of bytes that aren't white space; 0 for null. One pass over the bytes, without a list of the words."""
-    names = df.columns
-    place = names.index(text)
+def sized_rows(df: DataFrame, source: str, text: str, key: str, seed: int, carry: list[str]) -> DataFrame:
+    """(doc, _source, _u, _size): doc has the carried columns; _size is the number of runs of bytes that aren't white space, 0 for null.
+
+    One pass over the bytes, without a list of the words. A carried text isn't sent to the workers twice.
+    """
+    doc = F.struct(*(column_of(df, c) for c in carry)).alias("doc")
+    own = [] if text in carry else [column_of(df, text).alias("_text")]
+    rows = df.select(doc, column_of(df, source).cast("string").alias("_source"), unit_interval(column_of(df, key), F.lit(seed)).alias("_u"), *own)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        buf, off = text_bytes(b.column(place))
+        buf, off = text_bytes(b.column(3) if own else part(b, carry.index(text)))
         n = np.zeros(b.num_rows, np.int64)
         for i, j in chunks(off):
             n[i:j] = np.diff(word_spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], WORD)[2])
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[*names, name])
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n)], names=["doc", "_source", "_u", "_size"])
 
-    return df.mapInArrow(per_batch(run), ", ".join([*fields(df), f"{name} bigint"]))
+    return rows.mapInArrow(per_batch(run), schema_with(rows.drop("_text"), "_size bigint"))
 
 
 def size_class(size: Column) -> Column:
@@ -132,7 +136,6 @@ def cut(spark: SparkSession, small: DataFrame, state: DataFrame, open_: Column)
         # A source without open rows has no bin: nothing of it lies under rank 0.
         found = now.join(step, now["_s"].eqNullSafe(F.col("_k")), "left").select(*keep, F.coalesce("_to", F.lit(0)).alias("_cut"), (F.col("_rest") - F.coalesce("_before", F.lit(0))).alias("_rest"), F.coalesce("_run", F.lit(0)).alias("_last"))
         now = table(spark, found, "cut")
-    release(spark)
     return now
 
 
@@ -164,21 +167,19 @@ def under_second() -> Column:
     return (F.col("_size") <= F.col("_fit")) & ((F.col("_key") < F.col("_cut2")) | ((F.col("_key") == F.col("_cut2")) & F.col("_with2")))
 
 
-def mix(spark: SparkSession, df: DataFrame, source: str = "source", size: Column | None = None, key: str = "doc_id", seed: int = 11, drop: tuple[str, ...] = ()) -> DataFrame:
-    """df without the columns to drop, with _size, _total (of its source), _target, _copies (0 to 3).
+def mix(spark: SparkSession, df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", seed: int = 11, carry: list[str] | None = None) -> DataFrame:
+    """(doc, size, total, target, copies) for each row: doc is a struct of the carried columns (all of df), so their names clash
+    with none; size is the row's words, total and target those of its source; copies is 0 to 3.
 
     Null sources are one source of their own, null texts have size 0, an empty
-    table gives an empty result. Rows that repeat an id share its random number:
-    at a cut they are taken or left together. Decisions depend on id, source and size
-    alone: reruns agree, and so do runs over other partitions. Columns of df
-    must not begin with an underscore (ValueError).
+    table gives an empty result. Texts are counted whole. Rows that repeat an id
+    share its random number: at a cut they are taken or left together. Decisions
+    depend on id, source and size alone: reruns agree, and so do runs over other
+    partitions.
     """
-    if clash := [c for c in df.columns if c.startswith("_")]:
-        raise ValueError(f"columns {clash} begin with an underscore")
     prepare(spark)
-    sized = with_word_count(df, "text", "_size") if size is None else df.withColumn("_size", size)
     # Written once: sizes are counted once, and all that follows reads its few columns.
-    full = table(spark, sized.drop(*drop).withColumns({"_source": F.col(f"`{source}`").cast("string"), "_u": unit_interval(F.col(f"`{key}`"), F.lit(seed))}), "sizes")
+    full = table(spark, sized_rows(df, source, text, key, seed, df.columns if carry is None else carry), "sizes")
     small = full.select("_source", "_size", "_u")
     classes = small.groupBy("_source", size_class(F.col("_size")).alias("_class")).agg(F.sum("_size").alias("_words"))
     totals = classes.groupBy("_source").agg(F.sum("_words").alias("_total"), F.collect_list(F.struct("_class", "_words")).alias("_classes"))
@@ -188,20 +189,17 @@ def mix(spark: SparkSession, df: DataFrame, source: str = "source", size: Column
     found = cuts(spark, small, table(spark, state, "rates"))
     ranked = with_rank(full.join(found, full["_source"].eqNullSafe(found["_s"]), "inner"))
     some = (F.col("_expected") > F.col("_whole")) & (under_first() | under_second())
-    return ranked.select(*(F.col(f"`{c}`") for c in df.columns if c not in drop), "_size", "_total", "_target", (F.col("_whole") + some.cast("long")).alias("_copies"))
+    return ranked.select("doc", F.col("_size").alias("size"), F.col("_total").alias("total"), F.col("_target").alias("target"), (F.col("_whole") + some.cast("long")).alias("copies"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words the mix takes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mix(spark, docs, drop=("text",))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
+    out = mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), carry=["doc_id"])
+    return out.select("doc.doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents of the mix, as often as it takes them. Copies lie in different partitions, not one after another."""
-    out = mix(spark, docs)
-    first, *more = (out.where(F.col("_copies") >= k).select(docs.columns) for k in range(1, int(MOST_COPIES) + 1))
-    for m in more:
-        first = first.unionByName(m)
-    return first
+    """The documents of the mix, as often as it takes them. A partition's second copies follow all its first ones, so copies aren't neighbours."""
+    out = mix(spark, docs).where("copies > 0")
+    copies = out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return unboxed(copies.sortWithinPartitions("copy").select("doc"))

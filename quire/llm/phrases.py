@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, byte_class, chunks, drop_tables, numbered, prepare, table, text_bytes, word_spans
+from quire.llm.common import SpanHasher, byte_class, chunks, column_of, drop_tables, mixed, numbered, prepare, table, text_bytes, unboxed, word_spans
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
-QUERY_BYTES = 16 << 20  # of phrase texts that are held at a time; more are searched in blocks
+QUERY_BYTES = 16 << 20  # of phrase texts in a block
+SLICE = 1 << 14  # windows that are looked up at once
 GAP = 1 << 10  # positions between two texts of a segment, more than any window or proximity
 
 WORD = byte_class(lambda b: not (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) or 0x41 <= b <= 0x5A)
@@ -95,31 +96,39 @@ def build_index(spark: SparkSession, docs: DataFrame, key: Column, text: Column,
 
 @dataclass
 class Phrases:
-    """Distinct windows of the items: terms as numbers of the vocabulary, -1 past a short window's end."""
+    """Distinct windows of the items, as places in their stream of words."""
 
     vocabulary: np.ndarray
-    terms: np.ndarray
+    words: np.ndarray  # of all items one after another, as numbers of the vocabulary
+    start: np.ndarray  # of each window
     length: np.ndarray
     item_at: np.ndarray
     items: np.ndarray  # items of each window, as numbers
     names: list[str]
 
+    def terms(self, windows: slice) -> np.ndarray:
+        """Words of some windows: a row for each, -1 past a short window's end."""
+        start, length = self.start[windows], self.length[windows]
+        k = np.arange(length.max(initial=1))
+        return np.where(k < length[:, None], self.words[np.minimum(start[:, None] + k, len(self.words) - 1)], -1)
+
 
 def windows_of(names: list[str], texts: list[str], window: int = WINDOW) -> Phrases:
-    col = pa.array(texts, pa.large_string())
-    words, per = hashed_words(*text_bytes(col), SpanHasher())
+    words, per = hashed_words(*text_bytes(pa.array(texts, pa.large_string())), SpanHasher())
     vocabulary, number = np.unique(words, return_inverse=True)
-    seen: dict[tuple, set[int]] = {}
+    count = np.diff(per)
+    many = np.where(count > window, count - window + 1, np.minimum(count, 1))
+    start, owner = ragged(per[:-1], many)
+    length = np.minimum(count[owner], window)
+    h = length.astype(np.uint64)
+    for k in range(window):
+        w = words[np.minimum(start + k, max(0, len(words) - 1))] if len(words) else np.zeros(0, np.uint64)
+        h = np.where(k < length, mixed(h * np.uint64(0x9E3779B97F4A7C15) + w), h)
+    _, first, same = np.unique(h, return_index=True, return_inverse=True)
     label = {n: k for k, n in enumerate(sorted(set(names)))}
-    for n, a, b in zip(names, per[:-1], per[1:], strict=True):
-        own = number[a:b].tolist()
-        for k in range(max(1, len(own) - window + 1) if own else 0):
-            seen.setdefault(tuple(own[k : k + window]), set()).add(label[n])
-    terms = np.full((len(seen), window), -1, np.int64)
-    for row, w in enumerate(seen):
-        terms[row, : len(w)] = w
-    sizes = [len(v) for v in seen.values()]
-    return Phrases(vocabulary, terms, (terms >= 0).sum(1), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([x for v in seen.values() for x in sorted(v)], np.int64), [*label])
+    pairs = np.unique(same * max(1, len(label)) + np.array([label[n] for n in names], np.int64)[owner])
+    which, items = pairs // max(1, len(label)), pairs % max(1, len(label))
+    return Phrases(vocabulary, number.astype(np.int32), start[first], length[first], np.searchsorted(which, np.arange(len(first) + 1)), items, [*label])
 
 
 def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,44 +138,56 @@ def ragged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(size.sum()) + (start - at)[row], row
 
 
-def find(p: Postings, q: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position) of every occurrence of a window in a segment."""
-    if not len(q.terms) or not len(p.terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def find(p: Postings, q: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, position, words) of every occurrence of a window in a segment. SLICE windows are looked up at a time."""
+    none = (np.zeros(0, np.int64),) * 3
+    if not len(q.start) or not len(p.terms):
+        return none
     place = np.minimum(np.searchsorted(p.terms, q.vocabulary), len(p.terms) - 1)
     here = p.terms[place] == q.vocabulary
     count = np.where(here, np.diff(p.at)[place], 0)
-    freq = np.where(q.terms >= 0, count[q.terms], np.iinfo(np.int64).max)
-    alive = np.flatnonzero(freq.min(1) > 0)
-    freq, terms = freq[alive], q.terms[alive]
-    order = np.argsort(freq, axis=1, kind="stable")  # rarest first; past the end last
     base = int(p.positions.max()) + GAP
     joint = np.repeat(np.arange(len(p.terms)), np.diff(p.at)) * base + p.positions  # ascending
-    rare = np.take_along_axis(terms, order[:, :1], 1)[:, 0]
-    at, row = ragged(p.at[place[rare]], count[rare])
-    spot = p.positions[at] - order[row, 0]
-    for k in range(1, terms.shape[1]):
-        t = terms[row, order[row, k]]
-        if not len(t):
-            break
-        want = place[t] * base + spot + order[row, k]
-        ok = (t < 0) | ((joint[np.minimum(np.searchsorted(joint, want), len(joint) - 1)] == want) & (spot + order[row, k] >= 0))
-        row, spot = row[ok], spot[ok]
-    return alive[row], spot
-
-
-def near(p: Postings, q: Phrases, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first position) of spans of `within` words at most that hold all terms of a window, in any order; smallest spans only."""
-    out: list[tuple[int, int]] = []
-    place = np.minimum(np.searchsorted(p.terms, q.vocabulary), max(0, len(p.terms) - 1))
-    here = p.terms[place] == q.vocabulary if len(p.terms) else np.zeros(len(q.vocabulary), bool)
-    for w, terms in enumerate(q.terms):
-        own, need = np.unique(terms[terms >= 0], return_counts=True)
+    out = [none]
+    for begin in range(0, len(q.start), SLICE):
+        terms = q.terms(slice(begin, begin + SLICE))
+        freq = np.where(terms >= 0, count[terms], np.iinfo(np.int64).max)
+        alive = np.flatnonzero(freq.min(1) > 0)
+        freq, terms = freq[alive], terms[alive]
+        order = np.argsort(freq, axis=1, kind="stable")  # rarest first; past the end last
+        rare = np.take_along_axis(terms, order[:, :1], 1)[:, 0]
+        at, row = ragged(p.at[place[rare]], count[rare])
+        spot = p.positions[at] - order[row, 0]
+        for k in range(1, terms.shape[1]):
+            t = terms[row, order[row, k]]
+            if not len(t):
+                break
+            want = place[t] * base + spot + order[row, k]
+            ok = (t < 0) | ((joint[np.minimum(np.searchsorted(joint, want), len(joint) - 1)] == want) & (spot + order[row, k] >= 0))
+            row, spot = row[ok], spot[ok]
+        out.append((begin + alive[row], spot, q.length[begin + alive[row]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def near(p: Postings, q: Phrases, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, first position, words) of the spans of `within` words at most that hold all words of a window, in any order,
+    a repeated word as often: the smallest ones, which hold no other such span."""
+    out: list[tuple[int, int, int]] = []
+    if not len(p.terms):
+        return (np.zeros(0, np.int64),) * 3
+    place = np.minimum(np.searchsorted(p.terms, q.vocabulary), len(p.terms) - 1)
+    here = p.terms[place] == q.vocabulary
+    for w in range(len(q.start)):
+        own, need = np.unique(q.words[q.start[w] : q.start[w] + q.length[w]], return_counts=True)
         if not here[own].all():
             continue
         lists = [p.positions[p.at[place[t]] : p.at[place[t] + 1]] for t in own]
         rare = min(lists, key=len)
-        close = [x[np.abs(x - rare[np.clip(np.searchsorted(rare, x), 0, len(rare) - 1)]).clip(max=np.abs(x - rare[np.clip(np.searchsorted(rare, x) - 1, 0, len(rare) - 1)])) < within] for x in lists]
+        close = []
+        for x in lists:  # only what has the rarest word near it matters
+            k = np.searchsorted(rare, x)
+            after, before = rare[np.minimum(k, len(rare) - 1)], rare[np.maximum(k - 1, 0)]
+            close.append(x[np.minimum(np.abs(after - x), np.abs(x - before)) < within])
         spot = np.concatenate(close)
         who = np.repeat(np.arange(len(own)), [len(x) for x in close])
         by = np.argsort(spot, kind="stable")
@@ -176,61 +197,65 @@ def near(p: Postings, q: Phrases, within: int) -> tuple[np.ndarray, np.ndarray]:
             have[k] += 1
             full += have[k] == need[k]
             while full == len(own):
-                if spot[right] - spot[left] < within and have[who[left]] == need[who[left]]:
-                    out.append((w, spot[left]))
-                full -= have[who[left]] == need[who[left]]
-                have[who[left]] -= 1
+                own_left = who[left]
+                if have[own_left] == need[own_left]:  # without its first word the span isn't one any more
+                    if spot[right] - spot[left] < within:
+                        out.append((w, spot[left], spot[right] - spot[left] + 1))
+                    full -= 1
+                have[own_left] -= 1
                 left += 1
-    return np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64)
+    cols = np.array(out, np.int64).reshape(-1, 3)
+    return cols[:, 0], cols[:, 1], cols[:, 2]
 
 
 def hits(p: Postings, q: Phrases, within: int = 0) -> list[tuple[int, list[list[int]], list[int]]]:
     """(text, spans of hit words [from, to), items) of the segment's texts that have any."""
-    window, spot = find(p, q) if not within else near(p, q, within)
+    window, spot, length = near(p, q, within) if within else find(p, q)
     if not len(window):
         return []
+    by = np.argsort(spot, kind="stable")
+    window, spot, length = window[by], spot[by], length[by]
     text = np.searchsorted(p.first, spot, "right") - 1
-    length = q.length[window] if not within else np.full(len(window), within)
     out = []
     for t in np.unique(text):
-        mine = np.flatnonzero(text == t)
-        a = np.sort(spot[mine] - p.first[t])
-        b = np.minimum(a + length[mine][np.argsort(spot[mine], kind="stable")], p.words[t])
+        mine = slice(*np.searchsorted(text, [t, t + 1]))
+        a = spot[mine] - p.first[t]
+        b = np.minimum(a + length[mine], p.words[t])
         top = np.maximum.accumulate(b)
         new = np.flatnonzero(np.concatenate([[True], a[1:] > top[:-1]]))
         ends = top[np.append(new[1:], len(a)) - 1]
-        which = np.unique(np.concatenate([q.items[q.item_at[w] : q.item_at[w + 1]] for w in np.unique(window[mine])]))
-        out.append((int(t), np.stack([a[new], ends], 1).tolist(), which.tolist()))
+        found = np.unique(window[mine])
+        at, _ = ragged(q.item_at[found], q.item_at[found + 1] - q.item_at[found])
+        out.append((int(t), np.stack([a[new], ends], 1).tolist(), np.unique(q.items[at]).tolist()))
     return out
 
 
-FOUND = "number bigint, "  # of a text: repeated and null keys stay apart
-MATCH = "key bigint, n_words bigint, spans array<array<bigint>>, items array<string>"
+FOUND = "number bigint, spans array<array<bigint>>, items array<string>"
+SPANS, ITEMS = pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())
 
 
 def search_block(spark: SparkSession, index: DataFrame, phrases: Phrases, within: int) -> DataFrame:
+    """(number, spans, items) of the texts that hold a window of these phrases."""
     held = spark.sparkContext.broadcast(vars(phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Phrases(**held.value)
         for b in batches:
             for k in range(b.num_rows):
-                keys, words = (np.asarray(b.column(c)[k].values) for c in (0, 1))
-                p = unpacked(words, *(b.column(c)[k].as_py() for c in (2, 3, 4)))
-                spans, items = [[] for _ in keys], [[] for _ in keys]
-                for t, s, i in hits(p, q, within):
-                    spans[t], items[t] = s, [q.names[x] for x in i]
-                number = pa.array(b.column(5)[k].as_py() + np.arange(len(words), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([number, b.column(0)[k].values, pa.array(words), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=[x.split()[0] for x in (FOUND + MATCH).split(", ")])
+                words, first = np.asarray(b.column(0)[k].values), b.column(4)[k].as_py()
+                p = unpacked(words, *(b.column(c)[k].as_py() for c in (1, 2, 3)))
+                got = hits(p, q, within)
+                cols = [pa.array([first + t for t, _, _ in got], pa.int64()), pa.array([s for _, s, _ in got], SPANS), pa.array([[q.names[x] for x in i] for _, _, i in got], ITEMS)]
+                yield pa.RecordBatch.from_arrays(cols, names=["number", "spans", "items"])
 
-    return index.mapInArrow(run, FOUND + MATCH)
+    return index.select("words", "terms", "counts", "steps", "base").mapInArrow(run, FOUND)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unites the spans and items that several blocks of phrases found in a text."""
     for b in batches:
         spans, items = [], []
-        for lists in b.column(2).to_pylist():
+        for lists in b.column(1).to_pylist():
             out: list[list[int]] = []
             for a, e in sorted(x for s in lists for x in s):
                 if out and a <= out[-1][1]:
@@ -238,9 +263,9 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     out.append([a, e])
             spans.append(out)
-        for lists in b.column(3).to_pylist():
+        for lists in b.column(2).to_pylist():
             items.append(sorted({x for s in lists for x in s}))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))], names=b.schema.names)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPANS), pa.array(items, ITEMS)], names=["number", "spans", "items"])
 
 
 def search(spark: SparkSession, index: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, within: int = 0) -> DataFrame:
@@ -248,28 +273,29 @@ def search(spark: SparkSession, index: DataFrame, items: DataFrame, item: str =
 
     A window is `window` consecutive words of an item; an item of fewer, but not
     none, is one window. With within > 0 a window's words count wherever all of
-    them stand in any order among that many words (window <= within <= 1024).
-    Items without words, and null texts, find nothing; a null item id counts as
-    the empty text. Words are compared by 64-bit hashes. Phrase texts are held
-    up to QUERY_BYTES, measured first; more are searched block by block.
+    them stand in any order among that many words (window <= within <= 1024);
+    the span is from the first of them to the last. Items without words, and null
+    texts, find nothing; a null item id counts as the empty text. Words are
+    compared by 64-bit hashes; texts are searched whole. Other columns of the
+    items aren't read.
+
+    Items are searched in blocks of QUERY_BYTES, one after another: the driver
+    and each worker hold one block's words, and what a block finds is written.
     """
     if within and not window <= within <= GAP:
         raise ValueError("within must lie between window and 1024")
-    queries = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    queries = items.select(F.coalesce(column_of(items, item).cast("string"), F.lit("")).alias("item"), F.coalesce(column_of(items, text), F.lit("")).alias("text"))
     size = queries.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
-    blocks = int(size // QUERY_BYTES) + 1
-    found = []
+    blocks, found = int(size // QUERY_BYTES) + 1, None
     for k in range(blocks):
         # Blocks of one size each, about; an item longer than that is a block with what falls in with it.
         got = queries.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
-        found.append(search_block(spark, index, windows_of(got.column("item").to_pylist(), got.column("text").to_pylist(), window), within))
-    if blocks == 1:
-        return found[0].drop("number")
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
-    whole = rows.groupBy("number", "key", "n_words").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return whole.drop("number").mapInArrow(merged, MATCH)
+        block = table(spark, search_block(spark, index, windows_of(got.column("item").to_pylist(), got.column("text").to_pylist(), window), within), "found")
+        found = found.unionByName(block) if found else block
+    whole = found.groupBy("number").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")).mapInArrow(merged, FOUND)
+    texts = index.select("base", F.posexplode(F.arrays_zip("rows", "words"))).select((F.col("base") + F.col("pos")).alias("number"), F.col("col.rows").alias("key"), F.col("col.words").alias("n_words"))
+    none = lambda name: F.coalesce(F.col(name), F.array().cast(whole.schema[name].dataType)).alias(name)
+    return texts.join(whole, "number", "left").select("key", "n_words", none("spans"), none("items"))
 
 
 def digest(matches: DataFrame) -> DataFrame:
@@ -284,13 +310,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(search(spark, build_index(spark, docs, F.col("doc_id"), F.col("text")), items)).withColumnRenamed("key", "doc_id")
 
 
-def without_benchmark(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no window of any item. Texts are told apart by a 64-bit hash, so repeated ids do no harm."""
-    key = F.xxhash64("doc_id", "text")
-    index = build_index(spark, docs, key, F.col("text"))
+def without_benchmark(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that hold no window of any item. Texts are told apart by a 64-bit hash, so repeated ids do no harm; columns of any name are carried along unread."""
+    own = F.xxhash64(column_of(docs, key), column_of(docs, text))
+    index = build_index(spark, docs, own, column_of(docs, text))
     bad = table(spark, search(spark, index, items).where(F.size("spans") > 0).select("key").distinct(), "contaminated")
     drop_tables(spark, index)
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == bad["key"], "left_anti").select(docs.columns)
+    return unboxed(docs.select(F.struct("*").alias("doc"), own.alias("key")).join(bad, "key", "left_anti").select("doc"))
 
 
 OP4_SQL = r"""

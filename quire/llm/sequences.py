@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import add_bases, chunks, fields, mixed, prepare, table, text_bytes
+from quire.llm.common import add_bases, chunks, mixed, prepare, schema_with, table, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the vocabulary's
@@ -111,10 +111,15 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY, pat
     return table(spark, rows, "sequences")
 
 
-def training_order(spark: SparkSession, packed: DataFrame, key: int = KEY, per_shard: int = PER_SHARD, length: int = LENGTH) -> DataFrame:
-    """Rows of pack() in slots: partition k is shard k, in order of slot; offset is the byte at which a slot begins in it."""
+def training_order(spark: SparkSession, packed: DataFrame, key: int = KEY, per_shard: int = PER_SHARD, length: int = LENGTH, tasks: int | None = None) -> DataFrame:
+    """Rows of pack() in slots: partitions are ranges of shards in order of slot; offset is the byte at which a slot begins in its shard.
+
+    A partition has one or more whole shards; `tasks`, by default the session's
+    shuffle partitions, bounds how many partitions there are, however many shards.
+    """
     total = packed.count()
     shards = max(1, -(-total // per_shard))
+    tasks = min(shards, tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
     numbered_ = add_bases(packed, "number").select("number", "n_tokens", "docs", "tokens")
     names = [*numbered_.columns, "slot"]
 
@@ -122,10 +127,10 @@ def training_order(spark: SparkSession, packed: DataFrame, key: int = KEY, per_s
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(permuted(b.column(0).to_numpy(), total, key))], names=names)
 
-    slotted = numbered_.mapInArrow(place, ", ".join([*fields(numbered_), "slot bigint"]))
-    shard = F.floor(F.col("slot") / per_shard).cast("int")
-    # Slots are a permutation of 0 .. total - 1, so every shard but the last has per_shard rows.
-    dealt = slotted.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    slotted = numbered_.mapInArrow(place, schema_with(numbered_, "slot bigint"))
+    shard = F.floor(F.col("slot") / per_shard)
+    # Slots are a permutation of 0 .. total - 1, so every shard but the last has per_shard rows, and the tasks' shares differ by one shard at most.
+    dealt = slotted.withColumn("shard", shard).repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("slot")
     return dealt.select("slot", "shard", ((F.col("slot") - F.col("shard") * F.lit(per_shard)) * (2 * length)).alias("offset"), "number", "n_tokens", "docs", F.crc32("tokens").alias("tokens_crc32"), "tokens")
 
 

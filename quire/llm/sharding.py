@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import numbered, table
+from quire.llm.common import numbered, schema_with, table
 
 STEP = np.uint64(2862933555777941757)  # fixed value: multiplier of the published generator
 
@@ -40,25 +40,23 @@ def shard_key(col: Column) -> Column:
 
 
 def assign_shards(spark: SparkSession, df: DataFrame, key: Column, shards: int, grown: int | None = None) -> DataFrame:
-    """df with shard, slot (gapless from 0 within a shard) and grown_shard (with `grown` shards, default one more).
+    """(doc, shard, slot, grown_shard) for each row: doc is the row as a struct, so its names clash with none; slot is gapless
+    from 0 within a shard; grown_shard is the shard of `grown`, by default one more.
 
     Slots are counted where the rows lie: each input partition numbers its own
     rows of a shard, and only the counts of partitions and shards are summed
     across the cluster. No row is sorted and none but the result is shuffled,
     so a key that holds a third of all rows costs no more than any other.
-    Null keys share one shard; repeated rows get slots of their own; an empty
-    table gives an empty result. Columns of df must not be named shard, slot or
-    grown_shard (ValueError).
+    Null keys share one shard; repeated rows get slots of their own; long values
+    are carried as they are; an empty table gives an empty result.
     """
-    if clash := {"shard", "slot", "grown_shard"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(clash)} are made here")
     grown = grown or shards + 1
-    names = df.columns
+    keyed = df.select(F.struct("*").alias("doc"), shard_key(key).alias("key"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(shards, np.int64)
         for pid, _, b in numbered(batches):
-            keys = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             shard = jump_hash(keys, shards)
             order = np.argsort(shard, kind="stable")
             n = np.bincount(shard, minlength=shards)
@@ -66,16 +64,15 @@ def assign_shards(spark: SparkSession, df: DataFrame, key: Column, shards: int,
             local[order] = np.arange(len(shard)) - np.repeat(np.cumsum(n) - n, n)
             local += count[shard]
             count += n
-            cols = [*(b.column(i) for i in range(b.num_columns - 1)), pa.array(shard), pa.array(jump_hash(keys, grown)), pa.array(np.full(len(shard), pid, np.int32)), pa.array(local)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "shard", "grown_shard", "_part", "_local"])
+            cols = [b.column(0), pa.array(shard), pa.array(jump_hash(keys, grown)), pa.array(np.full(len(shard), pid, np.int32)), pa.array(local)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "shard", "grown_shard", "part", "local"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "shard int, grown_shard int, _part int, _local bigint"])
-    placed = table(spark, df.withColumn("_key", shard_key(key)).mapInArrow(place, schema), "shards")
+    placed = table(spark, keyed.mapInArrow(place, schema_with(keyed.select("doc"), "shard int, grown_shard int, part int, local bigint")), "shards")
     # A row for each input partition and shard; the running sum is over partitions, not rows.
-    n = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = n.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return placed.join(base, ["shard", "_part"]).select(*(F.col(f"`{c}`") for c in names), "shard", (F.col("_base") + F.col("_local")).alias("slot"), "grown_shard")
+    n = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = n.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.join(base, ["shard", "part"]).select("doc", "shard", (F.col("base") + F.col("local")).alias("slot"), "grown_shard")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +81,4 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.lit("key").alias("law")
     )
-    return assign_shards(spark, docs, F.col("doc_id"), 24)
+    return assign_shards(spark, docs, F.col("doc_id"), 24).select("doc.*", "shard", "slot", "grown_shard")

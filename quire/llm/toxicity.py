@@ -13,16 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHasher, byte_class, chunks, crc_mod, fields, prepare, release, text_bytes, word_spans
+from quire.llm.common import SpanHasher, boxed, byte_class, chunks, crc_mod, drop_tables, part, prepare, schema_with, table, text_bytes, unboxed, word_spans
 
 BITS = 20
 SAMPLE = 20_000  # labelled texts that are fitted, at most
 MIN_TEXTS = 4  # labelled texts that a term must occur in
 FACTORS = 8
-TERMS = 1 << 14  # that are fitted: those whose share of toxic texts is furthest from chance
+TERMS = 1 << 14  # that are fitted, at most: those whose share of toxic texts is furthest from chance
+SLOTS = 8_000_000  # fitted terms of all texts together, at most
 PREFIXES = (4, 5)
 
 WORD = byte_class(lambda b: b >= 128 or chr(b).isalnum())
@@ -72,34 +73,14 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 12, steps: int = 600, rate: float = 0.08, seed: int = 3) -> Machine:
-    """Mini-batches with AdaGrad. parts: (terms, terms of each text) of runs of texts, terms as ids of 2^20.
-
-    Kept are terms of MIN_TEXTS texts at least, the TERMS furthest from chance. Parts are counted one by one, so little more than the terms is held.
-    """
+def fit(known: np.ndarray, share: float, term: np.ndarray, many: np.ndarray, label: np.ndarray, epochs: int = 12, steps: int = 600, rate: float = 0.08, seed: int = 3) -> Machine:
+    """Mini-batches with AdaGrad. known: the fitted terms' ids; term: slots of all texts one after another, many of each text; share of toxic texts."""
     rng = np.random.default_rng(seed)
     n = len(label)
-    rate_of = float(np.clip(label.mean() if n else 0.0, 1e-4, 1 - 1e-4))
-    texts, toxic, seen = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0
-    for term, size in parts:
-        bad = np.repeat(label[seen : seen + len(size)] > 0, size)
-        texts += np.bincount(term, minlength=1 << BITS)
-        toxic += np.bincount(term[bad], minlength=1 << BITS)
-        seen += len(size)
-    far = np.abs(toxic - texts * rate_of) / np.sqrt(np.maximum(texts, 1) * rate_of * (1 - rate_of))
-    known = np.flatnonzero(texts >= MIN_TEXTS)
-    known = np.sort(known[np.argsort(-far[known], kind="stable")[:TERMS]])
+    at = np.concatenate([[0], np.cumsum(many)])
     slot = np.full(1 << BITS, -1, np.int32)
     slot[known] = np.arange(len(known))
-    kept, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for term, size in parts:
-        own = slot[term]
-        upto = np.concatenate([[0], np.cumsum(own >= 0, dtype=np.int64)])
-        end = np.cumsum(size)
-        kept.append(own[own >= 0])
-        sizes.append(upto[end] - upto[end - size])
-    term, at = np.concatenate(kept), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    m = Machine(float(np.log(rate_of / (1 - rate_of))), slot, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
+    m = Machine(float(np.log(share / (1 - share))), slot, np.zeros(len(known)), rng.normal(0, 0.01, (len(known), FACTORS)))
     if not n or label.min() == label.max() or not len(known):
         return m
     g_bias, g_lin, g_fac = 1e-3, np.full(len(known), 1e-3), np.full(m.factors.shape, 1e-3)
@@ -107,17 +88,17 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: i
     for _ in range(max(epochs, min(100, steps * size // n))):  # small samples are passed over more often
         order = rng.permutation(n)
         for rows in np.array_split(order, max(1, n // size)):
-            many = at[rows + 1] - at[rows]
-            b = np.concatenate([[0], np.cumsum(many)])
-            t = term[np.repeat(at[rows] - b[:-1], many) + np.arange(b[-1])]
+            own = at[rows + 1] - at[rows]
+            b = np.concatenate([[0], np.cumsum(own)])
+            t = term[np.repeat(at[rows] - b[:-1], own) + np.arange(b[-1])]
             score, total = raw_scores(m, t, b)
             err = (logistic(score) - label[rows]) / len(rows)
-            e = np.repeat(err, many)
+            e = np.repeat(err, own)
             g_bias += err.sum() ** 2
             m.bias -= rate * err.sum() / np.sqrt(g_bias)
             seen, back = np.unique(t, return_inverse=True)
             lin = np.bincount(back, e, len(seen)) + 1e-5 * m.linear[seen]
-            grad = e[:, None] * (np.repeat(total, many, axis=0) - m.factors[t])
+            grad = e[:, None] * (np.repeat(total, own, axis=0) - m.factors[t])
             by = np.argsort(back, kind="stable")
             fac = np.add.reduceat(grad[by], np.searchsorted(back[by], np.arange(len(seen))), axis=0) + 1e-4 * m.factors[seen]
             g_lin[seen] += lin**2
@@ -128,61 +109,96 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: i
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Rows (text, label) of documents with a label 0 or 1, those of the smallest hashes, `most` at most."""
+    """Rows (order, label, text) of documents with a label 0 or 1: those of the smallest hashes of their ids, `most` at most."""
     labels = labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isin(0, 1))
-    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
+    labels = labels.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     h = F.xxhash64(F.lit("fit"), F.col("doc_id"))
-    picked = labels.where(F.col("doc_id").isNotNull()).orderBy(h, "doc_id").limit(most)
+    picked = labels.where(F.col("doc_id").isNotNull()).select("doc_id", "label", h.alias("order")).orderBy("order", "doc_id").limit(most)
     # `most` ids and labels are small enough to broadcast, so texts stay where they are.
-    return F.broadcast(picked).join(docs.select("doc_id", "text"), "doc_id")
+    return F.broadcast(picked).join(docs.select("doc_id", "text"), "doc_id").select("order", "label", "text")
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
-    """Fits a machine. docs and labels hold only rows that may be learnt from; `most` bounds what reaches the driver."""
-    prepare(spark)
+def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of (order, label, text) becomes its terms."""
+    hasher = SpanHasher()
+    for b in batches:
+        buf, off = text_bytes(b.column(2))
+        for i, j in chunks(off):
+            text, term = terms(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher)
+            at = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32)))], names=["order", "label", "terms"])
+
+
+def informative(bags: DataFrame, most: int) -> tuple[np.ndarray, float]:
+    """The terms of MIN_TEXTS texts at least whose share of toxic texts is furthest from chance, `most` at most, in order; and
+    that share of all. Terms are counted on the executors; a term hashes to 2^20 ids, so that is what there can be of them."""
+    size = bags.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
+    share = float(np.clip((size["bad"] or 0) / max(1, size["n"]), 1e-4, 1 - 1e-4))
+    each = bags.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    far = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    top = each.where(F.col("n") >= MIN_TEXTS).orderBy(far.desc(), "term").limit(most).select("term").toArrow()
+    return np.sort(np.asarray(top.column("term"))).astype(np.int64), share
+
+
+def bounded(bags: DataFrame, known: np.ndarray, texts: int, most: int) -> pa.Table:
+    """(label, slots) of the first bags in order: so many texts at most, and as far as their known terms add up to `most`."""
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[known] = np.arange(len(known))
+    held = bags.sparkSession.sparkContext.broadcast(slot)
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = text_bytes(b.column(2))
-            for i, j in chunks(off):
-                text, term = terms(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher)
-                at = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32)))], names=["doc_id", "label", "terms"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    bags = labelled_sample(docs, labels, most).select("doc_id", F.col("label").cast("int"), "text").mapInArrow(bag, f"doc_id {kind}, label int, terms array<int>")
-    got = bags.orderBy(F.xxhash64(F.lit("fit"), F.col("doc_id")), "doc_id").limit(most).toArrow()
-    parts = []
-    for chunk in got.column("terms").chunks:
-        for k in range(0, len(chunk), 256):
-            rows = chunk.slice(k, 256)
-            parts.append((np.asarray(rows.flatten()), np.asarray(rows.value_lengths(), np.int64)))
-    label = np.asarray(got.column("label"), float)
-    del got
-    machine = fit(parts, label)
-    del parts
-    release(spark)
-    return machine
+            own, size = held.value[np.asarray(b.column(2).flatten())], np.asarray(b.column(2).value_lengths(), np.int64)
+            upto = np.concatenate([[0], np.cumsum(own >= 0)])
+            at = upto[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(own[own >= 0]))], names=["order", "label", "slots"])
+
+    rows = bags.mapInArrow(slots, "order bigint, label int, slots array<int>").withColumn("n", F.size("slots") + 1)
+    by = ["order", "label", F.xxhash64("slots")]
+    upto = F.sum("n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))  # of a bounded sample
+    return rows.orderBy(*by).limit(texts).withColumn("upto", upto).where(F.col("upto") <= most).select("label", "slots").toArrow()
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_terms: int = TERMS, most_slots: int = SLOTS) -> Machine:
+    """Fits a machine. docs and labels hold only rows that may be learnt from.
+
+    Three parameters bound what is fitted and what reaches the driver: `most`
+    labelled texts, `most_terms` terms, and `most_slots` terms of all texts
+    together (four bytes each); texts behind the last bound are left out. Greater
+    bounds only add to what is fitted.
+    """
+    prepare(spark)
+    bags = table(spark, labelled_sample(docs, labels, most).mapInArrow(bag, "order bigint, label int, terms array<int>"), "bags")
+    known, share = informative(bags, most_terms)
+    got = bounded(bags, known, most, most_slots)
+    drop_tables(spark, bags)
+    slots = got.column("slots").combine_chunks()
+    size = np.asarray(slots.value_lengths(), np.int64) if len(slots) else np.zeros(0, np.int64)
+    return fit(known, share, np.asarray(slots.flatten(), np.int32), size, np.asarray(got.column("label"), float))
 
 
 def score(spark: SparkSession, df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """df with _score. Null and empty texts score as a text without known terms; rows are independent."""
+    """(doc, score) for each row: doc is the row as a struct, so its names clash with none.
+
+    Null and empty texts score as a text without known terms. Texts are read
+    whole, one long text at a time; rows are independent: repeated rows repeat,
+    an empty table gives none.
+    """
     prepare(spark)
-    names, model = df.columns, spark.sparkContext.broadcast(vars(machine))
-    place = names.index(text_col)
+    rows, model = boxed(df), spark.sparkContext.broadcast(vars(machine))
+    place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, m = SpanHasher(), Machine(**model.value)
         for b in batches:
-            buf, off = text_bytes(b.column(place))
+            buf, off = text_bytes(part(b, place))
             out = np.empty(b.num_rows)
             for i, j in chunks(off):
                 text, term = terms(buf[off[i] : off[j]], off[i : j + 1] - off[i], hasher, m.slot)
                 out[i:j] = logistic(raw_scores(m, term, np.searchsorted(text, np.arange(j - i + 1)))[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc", "score"])
 
-    return df.mapInArrow(run, ", ".join([*fields(df), "_score double"]))
+    return rows.mapInArrow(run, schema_with(rows, "score double"))
 
 
 def learnable(df: DataFrame) -> DataFrame:
@@ -194,10 +210,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     m = train(spark, learnable(docs), learnable(labels))
     out = score(spark, docs.select("doc_id", "text"), m)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc.doc_id", (crc_mod(F.col("doc.doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the machine scores under 0.5."""
     m = train(spark, learnable(docs), learnable(labels))
-    return score(spark, docs, m).where(F.col("_score") < 0.5).drop("_score")
+    return unboxed(score(spark, docs, m).where(F.col("score") < 0.5))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import per_batch
+from quire.llm.common import column_of, per_batch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,19 +104,24 @@ def match_rules(spark: SparkSession, urls: DataFrame, rules: DataFrame) -> DataF
 
 
 def judge(spark: SparkSession, df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """df with _host, _path, _rule (the struct, or null) and _verdict; a url that no rule fits gets the default."""
-    host, path = split_url(F.col(f"`{url_col}`"))
-    urls = df.withColumns({"_host": host, "_path": path})
-    best = match_rules(spark, urls.select(F.col("_host").alias("host"), F.col("_path").alias("path")), rules).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("rule").alias("_rule"))
-    out = urls.join(best, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
-    return out.drop("_h", "_p").withColumn("_verdict", F.coalesce("_rule.verdict", F.lit(default)))
+    """(doc, host, path, rule, verdict) for each row: doc is the row as a struct, so its names clash with none; rule a struct or null.
+
+    A url that no rule fits gets the default. Null urls, and those without ://,
+    have an empty host and path, which no rule fits. Urls are matched whole,
+    however long; repeated rows repeat; an empty table gives none.
+    """
+    host, path = split_url(column_of(df, url_col))
+    urls = df.select(F.struct("*").alias("doc"), host.alias("host"), path.alias("path"))
+    best = match_rules(spark, urls.select("host", "path"), rules).select(F.col("host").alias("h"), F.col("path").alias("p"), "rule")
+    out = urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    return out.select("doc", "host", "path", "rule", F.coalesce("rule.verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     out = judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
-    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.concat("_rule.host", "_rule.path").alias("rule"), F.col("_verdict").alias("verdict"))
+    return out.select("doc.page_id", "host", "path", F.concat("rule.host", "rule.path").alias("rule"), "verdict")
 
 
 OP6_SQL = """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,8 @@ def test_near_duplicates_carry_clashing_columns(spark):
 
 
 def test_bucket_blocks_find_links_between_blocks(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "BLOCK", 16)
+    monkeypatch.setattr(dedup, "PER_ROOT", 1)
+    monkeypatch.setattr(dedup, "PAIRS", 3)
     monkeypatch.setattr(dedup, "TILE", 2000)
     texts = near_corpus()
     out = dedup.near_duplicates(spark, documents(spark, texts)).select("id", "n_shingles", "component").collect()
@@ -199,6 +201,34 @@ def test_proximity(spark):
         phrases.search(spark, index, items, window=3, within=2)
 
 
+def brute_near(words, item, within):
+    """Words in the smallest spans that hold an item's words, as often as the item does."""
+    need, spans = Counter(item), []
+    for a in range(len(words)):
+        for b in range(a + 1, min(len(words), a + within) + 1):
+            if not need - Counter(words[a:b]):
+                spans.append((a, b))
+                break
+    spans = [(a, b) for a, b in spans if not any((c, d) != (a, b) and a <= c and d <= b for c, d in spans)]
+    return {k for a, b in spans for k in range(a, b)}
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdx") for _ in range(rng.choice([0, 2, 8, 40]))) for _ in range(50)] + ["a b x x x x"]
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(n))) for k, n in enumerate([1, 2, 3, 3, 4])] + [(9, "a b")]
+    index = phrases.build_index(spark, documents(spark, texts), F.col("doc_id"), F.col("text"))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    for within in (4, 6, 9):
+        for r in phrases.search(spark, index, table, window=4, within=within).collect():
+            words = texts[r.key].split()
+            want = {str(i): brute_near(words, t.split(), within) for i, t in items}
+            assert {k for a, b in r.spans for k in range(a, b)} == set().union(*want.values())
+            assert sorted(r["items"]) == sorted(i for i, hit in want.items() if hit)
+    one = phrases.search(spark, index, table.where("item_id = 9"), window=4, within=6).where("key = 50").first()
+    assert one.spans == [[0, 2]]
+
+
 # --- toxicity and languages ------------------------------------------------------
 
 
@@ -214,25 +244,47 @@ def test_machine_learns_an_interaction_that_linear_weights_cannot(spark):
     docs = documents(spark, rows)
     lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     m = toxicity.train(spark, toxicity.learnable(docs), toxicity.learnable(lab))
-    out = {r.doc_id: r._score for r in toxicity.score(spark, docs.where(common.crc_mod(F.col("doc_id"), 5) == 0), m).collect()}
+    out = {r.doc.doc_id: r.score for r in toxicity.score(spark, docs.where(common.crc_mod(F.col("doc_id"), 5) == 0), m).collect()}
     right = np.mean([(s >= 0.5) == labels[i][2] for i, s in out.items()])
     assert len(out) > 200 and right > 0.97
 
 
 def test_sample_of_a_machine(spark, monkeypatch):
     n, seen = 20_100, []
-    monkeypatch.setattr(toxicity, "fit", lambda parts, label: seen.append((len(label), sum(len(size) for _, size in parts))))
+    monkeypatch.setattr(toxicity, "fit", lambda known, share, term, many, label: seen.append((len(label), len(many), len(term), len(known))))
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    labels = lambda most: docs.where(F.col("doc_id") < most).select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
     for most in (19_000, n):
-        toxicity.train(spark, docs, docs.where(F.col("doc_id") < most).select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
-    assert seen == [(19_000, 19_000), (20_000, 20_000)]
+        toxicity.train(spark, docs, labels(most))
+    assert [x[:2] for x in seen] == [(19_000, 19_000), (20_000, 20_000)]
+    terms = seen[0][3]
+    toxicity.train(spark, docs, labels(n), most_slots=100 * (terms + 1))
+    toxicity.train(spark, docs, labels(n), most_terms=terms - 2)
+    assert seen[2][0] == 100 and seen[3][2:] == (20_000 * (terms - 2), terms - 2)
+    one = docs.withColumn("doc_id", F.lit(1).cast("bigint"))  # a label that all texts share
+    toxicity.train(spark, one, labels(n), most=500)
+    assert seen[4][0] <= 500
+
+
+def test_greater_bounds_only_add(spark):
+    rng = random.Random(4)
+    docs = documents(spark, [" ".join(f"w{rng.randrange(60)}" for _ in range(12)) for _ in range(400)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    bags = common.table(spark, toxicity.labelled_sample(docs, labels, 10**6).mapInArrow(toxicity.bag, "order bigint, label int, terms array<int>"), "bags")
+    few, many = (set(toxicity.informative(bags, n)[0].tolist()) for n in (20, 50))
+    assert len(few) == 20 and len(many) == 50 and few < many
+    counts = Counter((t, r.label) for r in bags.collect() for t in r.terms)
+    share = sum(r.label for r in bags.collect()) / 400
+    n = {t: counts[t, 0] + counts[t, 1] for t, _ in counts}
+    far = sorted((t for t in n if n[t] >= toxicity.MIN_TEXTS), key=lambda t: (-abs(counts[t, 1] - n[t] * share) / (n[t] * share * (1 - share)) ** 0.5, t))
+    assert set(far[:20]) == few
 
 
 def test_scores_of_odd_rows_and_untrained_machines(spark):
     docs = documents(spark, ["", None, "a " * 50_000, "x"])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     m = toxicity.train(spark, docs, none)
-    assert all(0 <= r._score <= 1 for r in toxicity.score(spark, docs, m).collect())
+    assert all(0 <= r.score <= 1 for r in toxicity.score(spark, docs, m).collect())
     assert toxicity.without_toxic(spark, docs, none).columns == docs.columns
     odd = spark.createDataFrame([(0, None, None), (1, 1, 7), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(spark, docs, toxicity.train(spark, docs, odd)).count() == 4
@@ -256,12 +308,12 @@ def test_languages(spark):
     f = language.learn(spark, docs)
     assert f.names == ["aa", "bb"]
     more = spark.createDataFrame([(i, make("abcdefg" if i % 2 else "efghijk")) for i in range(60)] + [(100, None), (101, "12 ,.!"), (102, "")], "doc_id bigint, text string")
-    out = {r.doc_id: (r._lang, r._score) for r in language.identify(spark, more, f).collect()}
+    out = {r.doc.doc_id: (r.lang, r.score) for r in language.identify(spark, more, f).collect()}
     assert np.mean([out[i][0] == ("aa" if i % 2 else "bb") for i in range(60)]) > 0.98
     assert [out[i] for i in (100, 101, 102)] == [("und", 0.0)] * 3
     assert all(0 <= s <= 1 for _, s in out.values())
     empty = language.learn(spark, docs.where("lang = 'zz'"))
-    assert {r._lang for r in language.identify(spark, more, empty).collect()} == {"und"}
+    assert {r.lang for r in language.identify(spark, more, empty).collect()} == {"und"}
 
 
 def test_more_languages_than_a_mask_word_holds(spark):
@@ -271,19 +323,80 @@ def test_more_languages_than_a_mask_word_holds(spark):
     f = language.learn(spark, spark.createDataFrame(texts, "doc_id bigint, text string, lang string"))
     assert f.names == [f"l{k:03d}" for k in range(130)]
     out = language.identify(spark, spark.createDataFrame(texts, "doc_id bigint, text string, lang string"), f).collect()
-    assert [r._lang for r in out] == [r.lang for r in out]
+    assert [r.lang for r in out] == [r.doc.lang for r in out]
+
+
+def made_filters(grams):
+    word, cell, mask = [], [], []
+    for k, g in enumerate(grams):
+        for p in language.probes(g):
+            word += [0] * len(p)
+            cell += p.tolist()
+            mask += [1 << k] * len(p)
+    held = Counter()
+    for c, m in zip(cell, mask, strict=True):
+        held[c] |= m
+    return language.filters([f"l{k}" for k in range(len(grams))], np.zeros(len(held), np.int64), np.array([*held]), np.array([*held.values()], np.uint64))
 
 
 def test_bloom_slices_have_no_false_negatives_and_the_expected_false_positives():
     rng = np.random.default_rng(4)
-    grams = {n: common.mixed(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for n in ("a", "b")}
-    f = language.build({n: (g, np.full(len(g), 2.0)) for n, g in grams.items()})
-    assert ((language.languages_of(f, grams["a"]) & np.uint64(1)) == 1).all()
+    grams = [common.mixed(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for _ in range(2)]
+    grams[1][:1000] = grams[0][:1000]
+    f = made_filters(grams)
+    assert (language.languages_of(f, grams[0][:1000]) == 3).all()  # all languages that contain an n-gram
+    assert ((language.languages_of(f, grams[0]) & np.uint64(1)) == 1).all() and ((language.languages_of(f, grams[1]) & np.uint64(2)) == 2).all()
     other = common.mixed(rng.integers(0, 2**63, 200_000, dtype=np.uint64))
     rate = ((language.languages_of(f, other) & np.uint64(1)) == 1).mean()
     assert abs(rate - f.false_rate[0]) < 3e-4
 
 
+def plain_grams(text):
+    """4-grams of letters, other characters as one space, a space at either end."""
+    s = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    s = " " + " ".join(s.split(" ")) + " "
+    s = re.sub(" +", " ", s)
+    return [s[k : k + 4] for k in range(len(s) - 3)]
+
+
+def test_languages_equal_plain_sets(spark, monkeypatch):
+    """Membership, counts and decisions against sets of n-grams. Filters with few false positives; sets have none."""
+    monkeypatch.setattr(language, "CELLS", 1 << 21)
+    rng = random.Random(12)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(40)] for k, letters in (("a", "abcdeé"), ("b", "defghı"), ("c", "ghijk中"))}
+    make = lambda k, n: " ".join(rng.choice(words[k] if rng.random() < 0.9 else words[rng.choice("abc")]) + rng.choice(["", ",", " 12"]) for _ in range(n))
+    rows = [(i, make("abc"[i % 3], 30), "abc"[i % 3]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    f = language.learn(spark, docs.unionByName(docs.where("lang = 'a'")))  # repeated texts count once
+    counts = {k: Counter(g for _, t, lang in rows if lang == k for g in plain_grams(t)) for k in "abc"}
+    counts = {k: {g: n for g, n in c.items() if n > 1} for k, c in counts.items()}
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    member = {k: {g for g, x in r.items() if x >= language.FLOOR * top[g]} for k, r in rate.items()}
+    assert f.names == ["a", "b", "c"] and any(g in member["b"] for g in member["a"])
+    probe = [make(rng.choice("abc"), rng.randint(1, 20)) for _ in range(80)]
+    out = language.identify(spark, spark.createDataFrame([(t,) for t in probe], "text string"), f).collect()
+    for r in out:
+        hits = [sum(g in member[k] for g in plain_grams(r.doc.text)) for k in "abc"]
+        if hits.count(max(hits)) == 1 and sum(hits):
+            assert r.lang == "abc"[hits.index(max(hits))]
+            assert abs(r.score - max(hits) / sum(hits)) < 0.02
+
+
+def test_letters_are_those_of_unicode(spark):
+    f = language.learn(spark, spark.createDataFrame([("abc abc abc", "x")], "text string, lang string"))
+    odd = ["䷀", "ힰ", "ª", "ʰ", "١", "٣", "𝒳", "𐐷", "中", "々", "〇", "\u0301", "🙂", "_", "Ⅷ"]
+    out = language.identify(spark, spark.createDataFrame([(c,) for c in odd], "text string"), f).collect()
+    assert {r.doc.text: r.lang != "und" for r in out} == {c: c.isalpha() for c in odd}
+
+
+def test_a_language_of_one_repeated_text_is_learnt(spark):
+    rows = [("one text only, again and again and again", "x")] * 3000 + [(f"ein anderer text mit worten und nummer {chr(97 + k % 26)}{chr(97 + k // 26)}", "y") for k in range(300)]
+    f = language.learn(spark, spark.createDataFrame(rows, "text string, lang string"), sample=50)
+    out = language.identify(spark, spark.createDataFrame(rows[:1] + rows[-1:], "text string, l string"), f).collect()
+    assert [r.lang for r in out] == ["x", "y"]
+
+
 def test_grams_see_letters_only():
     table = language.letters()
     h1, o1, has = language.grams(["Ab,c", "ab c", "", "1", "a\0b"], table)
