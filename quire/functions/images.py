@@ -6,12 +6,15 @@ Boxes are (left, top, right, bottom), right and bottom exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Thresholds of the page model.
 GAP_RATIO, LEAST_GAP = 0.35, 5
@@ -202,21 +205,38 @@ def first_max(logits: np.ndarray) -> int:
     return int(np.argmax(logits))
 
 
-REGIONS = "angle double, width int, height int, ink bigint, boxes array<array<int>>"
+def mapped(images: DataFrame, key: str, pixels: str, shape: tuple[int, ...], kernel: Callable[[np.ndarray], dict[str, object]], schema: str) -> DataFrame:
+    """(key, what the kernel gives) of each row's array of numbers from 0 to 255, taken as an image of this shape."""
+    out = StructType.fromDDL(f"key {dict(images.dtypes)[key]}, {schema}")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [kernel(np.asarray(p.values, np.float64).astype(np.uint8).reshape(shape)) for p in b.column(1)]
+            yield pa.RecordBatch.from_pylist([{"key": k, **r} for k, r in zip(b.column(0).to_pylist(), rows, strict=True)], schema=arrow)
+
+    return images.select(F.col(key).alias("key"), F.col(pixels).alias("pixels")).mapInArrow(run, out).withColumnRenamed("key", key)
+
+
+REGIONS = "note string, angle double, width int, height int, ink bigint, boxes array<array<int>>"
 
 
 def page_regions(images: DataFrame, decode: Decoder, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, angle, width, height, ink, boxes) of each image: straightened, thresholded and cut into bands."""
+    """(key, note, angle, width, height, ink, boxes) of each image: straightened, thresholded and cut into bands. An image that can't be decoded has a note and nulls; the others go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for c in b.column(1):
-                page = decode(c.as_py())
+                try:
+                    page = decode(c.as_py())
+                except Exception as e:  # noqa: BLE001 - whatever the supplied engine raises costs this image alone
+                    rows.append((f"could not be read: {type(e).__name__}", None, None, None, None, None))
+                    continue
                 straight, angle = deskewed(grey(page) if page.ndim == 3 else page)
                 mask = ink_mask(straight)
-                rows.append((angle, straight.shape[1], straight.shape[0], int(mask.sum()), [list(x) for x in segment_boxes(mask)]))
-            kinds = [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int32()))]
+                rows.append((None, angle, straight.shape[1], straight.shape[0], int(mask.sum()), [list(x) for x in segment_boxes(mask)]))
+            kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["key", *(x.split()[0] for x in REGIONS.split(", "))])
 
     kind = dict(images.dtypes)[key]

@@ -11,13 +11,16 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import heading_level, is_prose
+from quire.functions import tex
+from quire.functions.text import heading_level, is_prose, looks_like_equation, looks_like_loop
+from quire.operators.metrics import upper_medians
 
 # Thresholds of the page model.
 OVERLAP = 0.5
 MIN_EQUATION_HEIGHT = 14
 CONFIDENCE_FLOOR = 50
 HEADING_WORDS = 8
+TOO_SHORT, IS_PROSE, READ_AS_TEXT = "too short to be a displayed formula", "the region is prose, not displayed maths", "read as text (min conf "  # fixed values: reasons
 
 
 def overlap(t1: Column, b1: Column, t2: Column, b2: Column) -> Column:
@@ -96,17 +99,17 @@ def nominated(lines: DataFrame, boxes: DataFrame, floor: int = CONFIDENCE_FLOOR)
     Prose lines are carved out first. What is left is nominated if no text was
     read in it, if some was read badly, or if the text there is centred.
     """
-    short = boxes.where(F.col("b") - F.col("t") < MIN_EQUATION_HEIGHT).select("page", F.col("id").alias("box_id"), "t", "b", F.lit(False).alias("nominated"), F.lit("too short to be a displayed formula").alias("reason"))
+    short = boxes.where(F.col("b") - F.col("t") < MIN_EQUATION_HEIGHT).select("page", F.col("id").alias("box_id"), "t", "b", F.lit(False).alias("nominated"), F.lit(TOO_SHORT).alias("reason"))
     tall = boxes.where(F.col("b") - F.col("t") >= MIN_EQUATION_HEIGHT)
     prose = lines.where(is_prose(F.col("text")))
     spans = F.collect_list(F.when(F.col("x.t").isNotNull(), F.struct(F.col("x.t").cast("bigint").alias("t"), F.col("x.b").cast("bigint").alias("b"))))
     whole = tall.alias("y").join(prose.alias("x"), covers("x", "y"), "left").groupBy("y.page", "y.id", "y.l", "y.t", "y.r", "y.b", "y.width").agg(spans.alias("spans"))
     pieces = whole.withColumn("pieces", F.when(F.size("spans") == 0, F.array(F.struct(F.col("t").cast("bigint").alias("t"), F.col("b").cast("bigint").alias("b")))).otherwise(carved(F.col("t"), F.col("b"), F.col("spans"))))
-    gone = pieces.where(F.size("pieces") == 0).select("page", F.col("id").alias("box_id"), "t", "b", F.lit(False).alias("nominated"), F.lit("the region is prose, not displayed maths").alias("reason"))
+    gone = pieces.where(F.size("pieces") == 0).select("page", F.col("id").alias("box_id"), "t", "b", F.lit(False).alias("nominated"), F.lit(IS_PROSE).alias("reason"))
     each = pieces.select("page", "id", "width", F.posexplode("pieces").alias("n", "piece")).select("page", "id", "n", "width", "piece.t", "piece.b")
     inside = each.alias("y").join(lines.alias("x"), covers("x", "y"), "left").groupBy("y.page", "y.id", "y.n", "y.t", "y.b", "y.width").agg(F.min("x.min_conf").alias("weakest"), F.min("x.l").alias("left"), F.max("x.r").alias("right"), F.count("x.id").alias("lines"))
     take = (F.col("lines") == 0) | (F.col("weakest") < floor) | is_centred(F.col("left"), F.col("right"), F.col("width"))
-    judged = inside.select("page", F.col("id").alias("box_id"), "t", "b", take.alias("nominated"), F.when(~take, F.concat(F.lit("read as text (min conf "), F.col("weakest").cast("string"), F.lit(")"))).alias("reason"))
+    judged = inside.select("page", F.col("id").alias("box_id"), "t", "b", take.alias("nominated"), F.when(~take, F.concat(F.lit(READ_AS_TEXT), F.col("weakest").cast("string"), F.lit(")"))).alias("reason"))
     return functools.reduce(DataFrame.unionByName, [short, gone, judged])
 
 
@@ -126,15 +129,33 @@ def line_words(words: DataFrame) -> DataFrame:
     )
 
 
-def upper_median(values: Column) -> Column:
-    """The middle value, the upper one of two; null of nothing."""
-    s = F.sort_array(F.filter(values, lambda v: v.isNotNull()))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def covered(boxes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The boxes that a line of their page covers to a half at least."""
+    return boxes.alias("y").join(lines.alias("x"), covers("x", "y"), "left_semi")
+
+
+def regions_read(readings: DataFrame, lines: DataFrame) -> DataFrame:
+    """readings (page, id, l, t, r, b, latex, complete) of nominated regions with fate and text.
+
+    A formula is `found`, its LaTeX made safe; one without an end or that can't be
+    made safe is `dropped`; other writing is `covered` where a line was read there,
+    else `salvaged` as words unless these repeat; `none` where nothing was read.
+    """
+    there = covered(readings.select("page", "id", "t", "b"), lines).select("page", "id").withColumn("_line", F.lit(True))
+    rows = readings.join(there, ["page", "id"], "left").withColumns({"_safe": tex.sanitise(F.col("latex")), "_words": tex.unwrap(F.col("latex"))})
+    blank = F.coalesce(F.col("latex"), F.lit("")) == ""
+    fate = (
+        F.when(F.col("complete") == F.lit(False), "dropped").when(blank, "none").when(looks_like_equation(F.col("latex")), F.when(F.col("_safe.ok"), "found").otherwise("dropped"))
+        .when(F.col("_line"), "covered").when((F.col("_words") != "") & ~looks_like_loop(F.col("_words")), "salvaged").otherwise("none")
+    )
+    out = rows.withColumn("fate", fate)
+    text = F.when(F.col("fate") == "found", F.col("_safe.latex")).when(F.col("fate") == "salvaged", F.col("_words"))
+    return out.select(*readings.columns, "fate", text.alias("read"))
 
 
 def emitted(items: DataFrame, escape) -> DataFrame:  # noqa: ANN001
     """(doc, tex): whole documents from items (doc, page, ord, kind, text, t, b, block, par) in order; escape is a column function."""
-    heights = items.where(F.col("kind") == "text").groupBy("doc").agg(upper_median(F.collect_list(F.col("b") - F.col("t"))).alias("body_height"))
+    heights = upper_medians(items.where(F.col("kind") == "text").select("doc", (F.col("b") - F.col("t")).alias("height")), "doc", "height").withColumnRenamed("median", "body_height")
     order = Window.partitionBy("doc").orderBy("page", "ord")
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
     all_ = items.join(heights, "doc", "left").withColumn("head", (F.col("kind") == "text") & is_heading(F.col("text"), F.col("b") - F.col("t"), F.coalesce("body_height", F.lit(0))))

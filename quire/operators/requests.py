@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 LEAST_PASSWORD = 8
 SESSION_SECONDS = 30 * 86_400
 CLOCK_SLACK = 60
+TOKEN_ALGORITHM = "RS256"
 MOST_BODY_BYTES = 1 << 20
 FORM_ERRORS = ["All fields are required", "Passwords do not match", "Password must be at least 8 characters", "You must agree to the terms and conditions"]
 SIGN_UP_ERRORS = {"EMAIL_EXISTS": "Email already exists", "WEAK_PASSWORD": "Password must be at least 8 characters", "INVALID_EMAIL": "Malformed email address"}
 SIGN_UP_DEFAULT = "Failed to create account"
+SIGN_IN_DEFAULT = "Invalid email or password"
+SIGN_IN_ERRORS = {
+    "USER_DISABLED": "This account has been disabled.", "TOO_MANY_ATTEMPTS_TRY_LATER": "Too many failed attempts. Please try again later.",
+    "CONFIGURATION_NOT_FOUND": "Authentication is not configured. Please contact the administrator.",
+}
+RESET_SILENT = ["EMAIL_NOT_FOUND", "INVALID_EMAIL", "MISSING_EMAIL"]  # answered as if all were well
+RESET_ERRORS = {"TOO_MANY_ATTEMPTS_TRY_LATER": "Too many requests. Please try again later."}
+RESET_DEFAULT = "The reset email could not be sent. Please try again."
 
 
 def empty(c: Column) -> Column:
@@ -30,12 +39,13 @@ def session_valid(signed: Column, issued: Column, now: Column) -> Column:
     return F.coalesce(signed, F.lit(False)) & F.coalesce(now - issued <= SESSION_SECONDS, F.lit(False))
 
 
-def claims_valid(claims: Column, project: str, now: Column) -> Column:
-    """Claims (aud, iss, sub, exp, iat, auth_time) of a verified token, with disabled and valid_since of its account."""
+def claims_valid(claims: Column, project: str, issuer: str, keys: list[str], now: Column) -> Column:
+    """Header and claims (alg, kid, aud, iss, sub, exp, iat, auth_time) of a verified token, with disabled and valid_since of its account; keys are the known key ids."""
+    headed = (claims["alg"] == TOKEN_ALGORITHM) & claims["kid"].isin(keys)
     fresh = (claims["exp"] > now) & (claims["iat"] <= now + CLOCK_SLACK)
-    named = (claims["aud"] == project) & (claims["iss"] == f"https://securetoken.google.com/{project}") & ~empty(claims["sub"])
+    named = (claims["aud"] == project) & (claims["iss"] == issuer) & ~empty(claims["sub"])
     revoked = (F.coalesce(claims["valid_since"], F.lit(0)) > 0) & (F.coalesce(claims["auth_time"], F.lit(0)) > 0) & (claims["auth_time"] < claims["valid_since"])
-    return F.coalesce(named & fresh, F.lit(False)) & ~F.coalesce(claims["disabled"], F.lit(False)) & ~F.coalesce(revoked, F.lit(False))
+    return F.coalesce(headed & named & fresh, F.lit(False)) & ~F.coalesce(claims["disabled"], F.lit(False)) & ~F.coalesce(revoked, F.lit(False))
 
 
 def terms_outdated(version: Column, current: str) -> Column:
@@ -52,6 +62,11 @@ def message(code: Column, messages: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.coalesce(code, F.lit(""))), F.lit(default))
 
 
+def reset_message(code: Column) -> Column:
+    """What is said of a failed password reset; null where it must look like a success, so as not to tell which addresses exist."""
+    return F.when(~F.coalesce(code, F.lit("")).isin(RESET_SILENT), message(code, RESET_ERRORS, RESET_DEFAULT))
+
+
 def shown_time(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "dd MMM yyyy, HH:mm"), F.lit(""))
 

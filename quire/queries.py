@@ -6,34 +6,17 @@ history and its request log, conversations its attempts, lineitem its boxes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import tex, text
 from quire.operators import availability, history, layout, limiter, metrics, requests
 from quire.plans import chain
+from quire.registry import QUERIES, SQL, query, read
 from quire.sources import tables
 from quire.streaming.limiter import limited_stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+__all__ = ["QUERIES", "SQL"]
 
 
 # --- history ---------------------------------------------------------------------
@@ -71,11 +54,12 @@ def history_retained(spark, sf):
     return history.retained(store(spark, sf)).select("doc_id", "uid")
 
 
-@query("SELECT event_id AS doc_id, user_id AS uid, value FROM events WHERE event_id = 17 AND user_id = (SELECT user_id FROM events WHERE event_id = 17)")
+@query("SELECT event_id AS doc_id, user_id AS uid, value FROM events WHERE event_id = 17 AND user_id = (SELECT max(user_id) FROM events WHERE event_id = 17) UNION ALL SELECT event_id, user_id, value FROM events WHERE event_id = 18 AND user_id = (SELECT max(user_id) + 1 FROM events WHERE event_id = 18)")
 def history_item_owner(spark, sf):
+    """One id asked for by its owner, another by a stranger."""
     rows = store(spark, sf)
-    owner = rows.where("doc_id = 17").select("uid").first()
-    return history.owned_item(rows, "17", owner and owner[0]).select("doc_id", "uid", "value")
+    owner, stranger = rows.where("doc_id = 17").agg(F.max("uid")), rows.where("doc_id = 18").agg(F.max("uid") + 1)
+    return history.owned_item(rows, "17", owner).unionByName(history.owned_item(rows, "18", stranger)).select("doc_id", "uid", "value")
 
 
 @query("SELECT doc_id, '' AS \"fileName\", CASE WHEN coalesce(lang, '') = '' THEN 'convert' ELSE lang END AS \"ocrType\", n_chars AS timestamp, length(coalesce(text, '')) > 2000 AS truncated FROM documents")
@@ -84,14 +68,14 @@ def history_list_defaults(spark, sf):
     return history.listed(docs.select("doc_id", F.lit(None).cast("string").alias("fileName"), F.col("lang").alias("ocrType"), F.col("n_chars").alias("timestamp"), (F.length(F.coalesce("text", F.lit(""))) > 2000).alias("truncated")))
 
 
-@query("""SELECT c_custkey AS uid, coalesce(l.email, c_name) AS email, coalesce(c_acctbal_at, l.first_at) AS "createdAt", l.last_at AS "lastLogin"
+@query("""SELECT c_custkey AS uid, coalesce(l.email, c_name) AS email, coalesce(l.name, 'old') AS "displayName", coalesce(c_acctbal_at, l.first_at) AS "createdAt", l.last_at AS "lastLogin"
 FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP '2020-01-01 00:00:00' END AS c_acctbal_at FROM customer) c
-LEFT JOIN (SELECT user_id, arg_max(event_type, ts) AS email, min(ts) AS first_at, max(ts) AS last_at FROM (SELECT DISTINCT ON (user_id, ts) * FROM events ORDER BY user_id, ts, event_id) GROUP BY user_id) l ON c_custkey = user_id
-UNION ALL SELECT user_id, arg_max(event_type, ts), min(ts), max(ts) FROM (SELECT DISTINCT ON (user_id, ts) * FROM events ORDER BY user_id, ts, event_id) WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id""")
+LEFT JOIN (SELECT user_id, arg_max(event_type, ts) AS email, coalesce(arg_max({'x': nullif(event_type, 'click')}, ts).x, '') AS name, min(ts) AS first_at, max(ts) AS last_at FROM (SELECT DISTINCT ON (user_id, ts) * FROM events ORDER BY user_id, ts, event_id) GROUP BY user_id) l ON c_custkey = user_id
+UNION ALL SELECT user_id, arg_max(event_type, ts), coalesce(arg_max({'x': nullif(event_type, 'click')}, ts).x, ''), min(ts), max(ts) FROM (SELECT DISTINCT ON (user_id, ts) * FROM events ORDER BY user_id, ts, event_id) WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id""")
 def profile_upsert(spark, sf):
-    profiles = read(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("email"), F.when(F.col("c_custkey") % 3 == 0, F.lit("2020-01-01").cast("timestamp_ntz")).alias("createdAt"), F.lit(None).cast("timestamp_ntz").alias("lastLogin"))
+    profiles = read(spark, sf, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_name").alias("email"), F.lit("old").alias("displayName"), F.when(F.col("c_custkey") % 3 == 0, F.lit("2020-01-01").cast("timestamp_ntz")).alias("createdAt"), F.lit(None).cast("timestamp_ntz").alias("lastLogin"))
     first = Window.partitionBy("user_id", "ts").orderBy("event_id")
-    logins = read(spark, sf, "events").withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("user_id").alias("uid"), F.col("event_type").alias("email"), F.col("ts").alias("at"))
+    logins = read(spark, sf, "events").withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("user_id").alias("uid"), F.col("event_type").alias("email"), F.nullif("event_type", F.lit("click")).alias("displayName"), F.col("ts").alias("at"))
     return history.upserted_profiles(profiles, logins)
 
 
@@ -103,6 +87,15 @@ def merge_fields(spark, sf):
     return history.merged(rows, patches, "key")
 
 
+@query("""SELECT coalesce(c_custkey, s_suppkey) AS key, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS name, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS acctbal, c_mktsegment AS segment
+FROM customer FULL OUTER JOIN (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal FROM supplier) ON c_custkey = s_suppkey""")
+def merge_listed_fields(spark, sf):
+    """A listed field is written even where it is null."""
+    rows = read(spark, sf, "customer").selectExpr("c_custkey key", "c_name name", "c_acctbal acctbal", "c_mktsegment segment")
+    patches = read(spark, sf, "supplier").selectExpr("s_suppkey key", "s_name name", "CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END acctbal")
+    return history.merged(rows, patches, "key", ["name", "acctbal"])
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def delete_anti(spark, sf):
     gone = read(spark, sf, "lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey o_orderkey")
@@ -115,6 +108,39 @@ def guest_lists(spark, sf):
     return got.select("uid", F.col("entries")[0]["doc_id"].alias("newest"), F.size("entries").cast("bigint").alias("n"))
 
 
+GUESTS = f"(SELECT uid, list(doc_id ORDER BY timestamp DESC, doc_id DESC) AS ids FROM ({RANKED}) WHERE rank <= 20 GROUP BY uid)"
+
+
+@query(f"SELECT coalesce(uid, k) AS uid, CASE WHEN coalesce(uid, k) % 5 = 0 THEN CAST([] AS BIGINT[]) ELSE list_filter(list_concat(CASE WHEN k IS NULL THEN [] ELSE [-k] END, coalesce(ids, []))[1:20], lambda x, i: i <> 2) END AS ids FROM {GUESTS} FULL OUTER JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey <= 20) ON uid = k")
+def guest_list_edits(spark, sf):
+    """An entry is added in front, the second removed, and every fifth guest's list cleared."""
+    lists = history.guest_entries(read(spark, sf, "events").selectExpr("event_id doc_id", "user_id uid", "ts at"))
+    new = read(spark, sf, "customer").where("c_custkey <= 20").selectExpr("c_custkey uid", "TIMESTAMP_NTZ'2030-01-01 00:00:00' at", "-c_custkey doc_id")
+    edited = history.guest_removed(history.guest_added(lists, new), 1)
+    return history.guest_cleared(edited, edited.where("uid % 5 = 0")).select("uid", F.transform("entries", lambda e: e["doc_id"]).alias("ids"))
+
+
+@query("SELECT doc_id FROM (SELECT event_id AS doc_id, CASE WHEN event_id % 4 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS t FROM events WHERE user_id = 7 ORDER BY event_id LIMIT 270) ORDER BY t DESC, doc_id LIMIT 50 OFFSET 20")
+def history_unindexed(spark, sf):
+    """Surplus without an index: text order of times, missing ones last."""
+    rows = store(spark, sf).withColumn("timestamp", F.when(F.col("doc_id") % 4 > 0, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    return history.unindexed_surplus(rows, 7)
+
+
+@query("SELECT doc_id AS id, lang AS uid, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || chr(10) || '... [truncated]' ELSE text END AS result, length(text) > 300 AS truncated FROM documents WHERE coalesce(lang, '') <> '' AND trim(coalesce(text, '')) <> '' UNION ALL SELECT 0, 'x', 'kept', false")
+def history_saved(spark, sf):
+    """Results of signed-in owners are stored, cut to the length; guests' and empty ones aren't."""
+    old = spark.createDataFrame([(0, "x", "kept", False)], "id bigint, uid string, result string, truncated boolean")
+    return history.saved(old, read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("uid"), F.col("text").alias("result")), 300)
+
+
+@query("SELECT count(*) AS n, count(*) AS distinct_ids, true AS formed FROM customer")
+def document_ids(spark, sf):
+    """Random ids: as many different ones as rows, all of twenty letters and digits."""
+    made = history.with_document_ids(read(spark, sf, "customer"))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct_ids"), F.bool_and(F.col("doc_id").rlike(r"\A[A-Za-z0-9]{20}\z")).alias("formed"))
+
+
 # --- text --------------------------------------------------------------------------
 
 
@@ -215,39 +241,59 @@ def sanitise_math(spark, sf):
 LOG = "concat('(./x.tex\n! LaTeX Error: File `pkg', CAST(event_id % 7 AS STRING), '.sty'' not found.\nl.', CAST(event_id % 9 AS STRING), ' x\nmore  \nFile `', event_type, '.sty'' not found\n')"
 
 
-@query("SELECT event_id, list_sort(list_distinct(['pkg' || event_id % 7, event_type])) AS names FROM events")
+LOG_SQL = "(SELECT event_id, '(./x.tex' || chr(10) || '! LaTeX Error: File `pkg' || event_id % 7 || '.sty'' not found.' || chr(10) || 'l.' || event_id % 9 || ' x' || chr(10) || 'more  ' || chr(10) || 'File `' || event_type || '.sty'' not found' || chr(10) AS log FROM events)"
+
+
+@query(rf"SELECT event_id, list_sort(list_distinct(regexp_extract_all(log, 'File [`'']([^`'']+)\.sty'' not found', 1))) AS names FROM {LOG_SQL}")
 def missing_packages(spark, sf):
     return read(spark, sf, "events").select("event_id", text.missing_packages(F.expr(LOG)).alias("names"))
 
 
-@query("SELECT event_id, '! LaTeX Error: File `pkg' || event_id % 7 || '.sty'' not found.' || chr(10) || 'l.' || event_id % 9 || ' x' || chr(10) || 'more' || chr(10) || 'File `' || event_type || '.sty'' not found' AS errors FROM events")
+@query(rf"""SELECT event_id, array_to_string([x.line for x in list_sort(list({{'k': k, 'line': line}}))], chr(10)) AS errors FROM (SELECT event_id, line, min(k) AS k FROM (
+SELECT e.event_id, rtrim(l.line) AS line, l.k FROM (SELECT event_id, unnest(string_split(log, chr(10))) AS line, generate_subscripts(string_split(log, chr(10)), 1) AS k FROM {LOG_SQL}) e
+JOIN (SELECT event_id, unnest(string_split(log, chr(10))) AS line, generate_subscripts(string_split(log, chr(10)), 1) AS k FROM {LOG_SQL}) l ON e.event_id = l.event_id AND l.k BETWEEN e.k AND e.k + 2
+WHERE regexp_matches(trim(e.line), '^(?:!|l\.\d+|.*?LaTeX Error|.*?File .*? not found\b)') AND trim(l.line) <> '') GROUP BY event_id, line) GROUP BY event_id""")
 def extract_errors(spark, sf):
     return read(spark, sf, "events").select("event_id", tex.extract_errors(F.expr(LOG)).alias("errors"))
 
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' || chr(10) || '  \usepackage[x]{two}' || chr(10) || 'b' ELSE 'a' || chr(10) || 'b' END AS tex FROM documents")
+PACKAGED = r"(SELECT doc_id, '  \usepackage[x]{' || array_to_string(string_split(text, ' ')[1:3], ', ') || '} % why' || chr(10) || text AS tex, string_split(text, ' ')[2:2] AS gone FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM documents WHERE text IS NOT NULL))"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN len(rest) = len(asked) THEN tex WHEN len(rest) = 0 THEN substr(tex, position(chr(10) IN tex) + 1) ELSE '  \usepackage[x]{{' || array_to_string(rest, ',') || '}} % why' || substr(tex, position(chr(10) IN tex)) END AS tex
+FROM (SELECT doc_id, tex, list_filter(asked, lambda x: NOT list_contains(gone, x)) AS rest, asked FROM (SELECT doc_id, tex, gone, list_filter(list_transform(string_split(regexp_extract(tex, '\{{([^}}]*)\}}', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS asked FROM {PACKAGED}))""")
 def drop_packages(spark, sf):
-    made = F.expr(r"concat('a\n  \\usepackage[x]{one', CASE WHEN doc_id % 2 = 0 THEN ', two' ELSE '' END, '}\nb')")
-    return read(spark, sf, "documents").select("doc_id", tex.drop_packages(made, F.array(F.lit("one"))).alias("tex"))
+    """Each document asks for its first three words as packages; the second is missing."""
+    words = F.regexp_replace("text", "[^A-Za-z ]", "")
+    asked = F.split(words, " ")
+    made = F.concat(F.lit("  \\usepackage[x]{"), F.array_join(F.slice(asked, 1, 3), ", "), F.lit("} % why\n"), words)
+    return read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", tex.drop_packages(made, F.slice(asked, 2, 1)).alias("tex"))
 
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['26/article.cls', '26/amsmath.sty'] END AS files FROM documents")
+@query(rf"""SELECT doc_id, list_filter(keys, lambda x: regexp_matches(x, '^26/[A-Za-z0-9._-]+\.(?:cls|sty)$')) AS files FROM (SELECT doc_id, list_concat(CASE WHEN cls <> '' THEN ['26/' || trim(cls) || '.cls'] ELSE [] END, list_transform(flatten(list_transform(packages, lambda x: string_split(x, ','))), lambda x: '26/' || trim(x) || '.sty')) AS keys
+FROM (SELECT doc_id, regexp_extract(c, '\\documentclass\s*(?:\[[^\]]*\])?\s*\{{([^}}]*)\}}', 1) AS cls, regexp_extract_all(c, '\\usepackage\s*(?:\[[^\]]*\])?\s*\{{([^}}]*)\}}', 1) AS packages FROM (SELECT doc_id, regexp_replace(tex, '(?m)(^|[^\\])%.*$', '\1', 'g') AS c FROM {SOURCES})))""")
 def files_for(spark, sf):
     return sources(spark, sf).select("doc_id", text.files_for(F.col("tex")).alias("files"))
 
 
-@query("SELECT source, list(line ORDER BY d, k) AS lines FROM (SELECT source, line, min_by(d, d * 1000000 + k) AS d, min_by(k, d * 1000000 + k) AS k FROM (SELECT source, doc_id AS d, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k, array_to_string(list_filter(string_split_regex(raw, '\\s+'), lambda x: x <> ''), ' ') AS line FROM documents) WHERE line <> '' GROUP BY source, line) GROUP BY source")
+@query("""SELECT source, line, d AS doc_id, CAST(k - 1 AS INT) AS place FROM (SELECT source, line, d, k, row_number() OVER (PARTITION BY source, line ORDER BY d, k) AS n FROM (
+SELECT source, doc_id AS d, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k, array_to_string(list_filter(string_split_regex(raw, '\\s+'), lambda x: x <> ''), ' ') AS line FROM documents) WHERE line <> '') WHERE n = 1""")
 def preamble_union(spark, sf):
-    """Distinct lines of each source's documents, white space collapsed, in order of first sight."""
+    """Distinct lines of each source's documents, white space collapsed, a row for each with where it was first seen: their order. No source is gathered."""
     lines = read(spark, sf, "documents").select("source", F.col("doc_id").alias("d"), F.posexplode(F.split("text", "\n")).alias("k", "raw"))
     clean = lines.withColumn("line", F.array_join(F.filter(F.split("raw", r"\s+"), lambda x: x != ""), " ")).where("line <> ''")
-    first = clean.groupBy("source", "line").agg(F.min(F.struct("d", "k")).alias("at"))
-    return first.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
+    return clean.groupBy("source", "line").agg(F.min(F.struct("d", "k")).alias("at")).select("source", "line", F.col("at.d").alias("doc_id"), F.col("at.k").alias("place"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT doc_id // 4 AS doc, doc_id AS page, tex, trim(regexp_extract(tex, '(?m)^\s*\\documentclass\b.*$')) AS cls, contains(tex, '\end{{document}}') AS framed FROM {SOURCES}),
+l AS (SELECT doc, page, unnest(string_split(head, chr(10))) AS line, generate_subscripts(string_split(head, chr(10)), 1) AS k FROM (SELECT doc, page, CASE WHEN framed THEN split_part(tex, '\begin{{document}}', 1) ELSE '' END AS head FROM p WHERE trim(tex) <> '')),
+h AS (SELECT doc, string_agg(line, chr(10) ORDER BY page, k) || chr(10) AS preamble FROM (SELECT doc, page, k, regexp_replace(line, '\s+$', '') AS line, row_number() OVER (PARTITION BY doc, regexp_replace(trim(line), '\s+', ' ', 'g') ORDER BY page, k) AS n FROM l WHERE trim(line) <> '' AND NOT contains(line, '\documentclass')) WHERE n = 1 GROUP BY doc),
+b AS (SELECT doc, page, tex, cls, regexp_replace(CASE WHEN framed THEN split_part(split_part(tex, '\begin{{document}}', 2), '\end{{document}}', 1) ELSE tex END, '^\s+|\s+$', '', 'g') AS body FROM p WHERE trim(tex) <> ''),
+d AS (SELECT doc, count(*) AS n, min_by(tex, page) AS alone, coalesce(min_by(cls, page) FILTER (cls <> ''), '\documentclass{{article}}') AS cls, string_agg('\begingroup' || chr(10) || body || chr(10) || '\endgroup', chr(10) || chr(10) || '\clearpage' || chr(10) || chr(10) ORDER BY page) FILTER (body <> '') AS bodies FROM b GROUP BY doc)
+SELECT doc, coalesce(CASE WHEN n = 1 THEN alone ELSE d.cls || chr(10) || coalesce(preamble, '') || chr(10) || '\begin{{document}}' || chr(10) || chr(10) || coalesce(bodies, '') || chr(10) || chr(10) || '\end{{document}}' || chr(10) END, '') AS tex
+FROM (SELECT DISTINCT doc FROM p) LEFT JOIN d USING (doc) LEFT JOIN h USING (doc)""")
 def merge_documents(spark, sf):
-    pages = sources(spark, sf).select((F.col("doc_id") / 4).cast("bigint").alias("doc"), F.col("doc_id").alias("page"), "tex")
+    pages = sources(spark, sf).select(F.expr("doc_id div 4").alias("doc"), F.col("doc_id").alias("page"), "tex")
     return tex.merge(pages, "doc", "page", "tex")
 
 
@@ -265,11 +311,6 @@ def reply_json(spark, sf):
     return read(spark, sf, "events").select("event_id", text.reply_text(reply).alias("reply"), text.retry_seconds(error).alias("retry"))
 
 
-@query()
-def escape_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", tex.escape(F.col("text")).alias("tex"), tex.unwrap(F.concat(F.lit("\\mathrm{a b~c d} "), F.col("text"))).alias("words"))
-
-
 @query(rf"SELECT doc_id, CAST(len(list_filter(string_split_regex(b, '\n\s*\n'), lambda x: trim(replace(x, chr(10), '')) <> '')) AS INT) AS blocks, CAST(len(regexp_extract_all(b, '\\\[|\\begin\{{equation\}}')) AS INT) AS equations FROM (SELECT doc_id, CASE WHEN contains(tex, '\end{{document}}') THEN split_part(split_part(tex, '\begin{{document}}', 2), '\end{{document}}', 1) ELSE tex END AS b FROM {SOURCES})")
 def summarise_tex(spark, sf):
     t = F.col("tex")
@@ -286,23 +327,35 @@ FROM (SELECT r.user_id, e.k, e.event_id, e.t, list_filter(r.seen, lambda x: e.t
 SELECT user_id AS caller, event_id, limited, retry_after FROM r""")
 def limiter_batch(spark, sf):
     log = read(spark, sf, "events").select(F.lit("convert").alias("group"), F.col("user_id").alias("caller"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
-    return limiter.limited(spark, log, 3, 86_400).select("caller", "event_id", "limited", "retry_after")
+    return limiter.limited(spark, log, {"convert": (3, 86_400)}).select("caller", "event_id", "limited", "retry_after")
 
 
 @query(SQL["limiter_batch"])
 def limiter_stream(spark, sf):
     """The same decisions from a stateful stream over the log's files."""
     log = tables.stream_table(spark, sf, "events").select(F.lit("convert").alias("group"), F.col("user_id").cast("string").alias("caller"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
-    got = tables.run_to_end(spark, limited_stream(log, 3, 86_400).writeStream, "limiter")
+    got = tables.run_to_end(spark, limited_stream(log, {"convert": (3, 86_400)}).writeStream, "limiter")
     return got.select(F.col("caller").cast("bigint").alias("caller"), "event_id", "limited", "retry_after")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS g, epoch_us(ts) AS t, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, g, event_id, k, CASE WHEN n > 0 THEN [t] ELSE CAST([] AS BIGINT[]) END AS seen, false AS limited, CAST(0 AS BIGINT) AS retry_after FROM e WHERE k = 1
+UNION ALL SELECT user_id, g, event_id, k, CASE WHEN n = 0 OR len(s) >= n THEN s ELSE list_append(s, t) END, n > 0 AND len(s) >= n, CASE WHEN n > 0 AND len(s) >= n THEN greatest(1, CAST(ceil((172800000000 - (t - s[1])) / 1000000) AS BIGINT)) ELSE 0 END
+FROM (SELECT e.*, list_filter(r.seen, lambda x: e.t - x <= 172800000000) AS s FROM r JOIN e ON r.user_id = e.user_id AND r.g = e.g AND e.k = r.k + 1))
+SELECT 'u' || user_id AS caller, g AS "group", event_id, limited, retry_after FROM r""")
+def limiter_groups(spark, sf):
+    """Each group of routes has its own allowance; unknown ones are never limited. The caller is the user, or else the address."""
+    who = limiter.caller(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("u"), "user_id")).otherwise(""), F.when(F.col("user_id") % 2 > 0, F.concat(F.lit("u"), "user_id")))
+    log = read(spark, sf, "events").select(F.col("event_type").alias("group"), who.alias("caller"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
+    return limiter.limited(spark, log, {"click": (1, 172_800), "view": (2, 172_800)})
+
+
 def outage_log(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "events").select(F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_id") % 3 == 0).alias("ok"), F.lit(429).alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).otherwise(0).alias("retry_after"))
+    return read(spark, sf, "events").select(F.concat(F.lit("m"), F.col("user_id") % 5).alias("model"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_id") % 3 == 0).alias("ok"), F.lit(429).alias("status"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 100).otherwise(0).alias("retry_after"), (F.col("event_id") % 7 == 1).alias("gone"))
 
 
 LAST = "(SELECT 'm' || user_id % 5 AS model, arg_max({'id': event_id, 'at': CAST(floor(epoch(ts)) AS BIGINT)}, {'a': CAST(floor(epoch(ts)) AS BIGINT), 'b': event_id}) AS x FROM events GROUP BY 1)"
-OUTAGES = f"(SELECT model, x.at + CASE WHEN x.id % 2 = 0 AND x.id % 100 > 0 THEN x.id % 100 ELSE 900 END AS until, 429 AS status FROM {LAST} WHERE x.id % 3 <> 0)"
+OUTAGES = f"(SELECT model, x.at + CASE WHEN x.id % 7 = 1 THEN 86400 WHEN x.id % 2 = 0 AND x.id % 100 > 0 THEN x.id % 100 ELSE 900 END AS until, 429 AS status FROM {LAST} WHERE x.id % 3 <> 0)"
 
 
 @query(f"SELECT model, until, CAST(status AS INT) AS status FROM {OUTAGES}")
@@ -320,14 +373,14 @@ NOW = "(SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - 100 FROM events)"
 @query(f"SELECT 'm' || k AS model FROM range(7) t(k) WHERE 'm' || k NOT IN (SELECT model FROM {OUTAGES} WHERE until > {NOW})")
 def models_available(spark, sf):
     log = outage_log(spark, sf)
-    now = log.agg(F.max("at") - 100).first()[0]
+    now = log.agg(F.max("at") - 100)
     return availability.available(model_chain(spark), availability.latest_outages(log), now).select("model")
 
 
 @query(f"SELECT count(*) FILTER (u) > 0 AS available, min(m) FILTER (u) AS model, count(*) FILTER (u) AS remaining, CASE WHEN count(*) FILTER (u) = 0 THEN nullif(min(coalesce(until, 0)), 0) END AS retry_at FROM (SELECT 'm' || k AS m, until, until IS NULL OR until <= {NOW} AS u FROM range(7) t(k) LEFT JOIN {OUTAGES} ON 'm' || k = model)")
 def ai_status(spark, sf):
     log = outage_log(spark, sf)
-    now = log.agg(F.max("at") - 100).first()[0]
+    now = log.agg(F.max("at") - 100)
     return availability.status(model_chain(spark), availability.latest_outages(log), now)
 
 
@@ -339,8 +392,8 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select((F.col("conv_id") / 3).cast("bigint").alias("doc"), F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("step"), "code", "said", outcome.alias("outcome"), F.concat(F.lit("m"), F.col("turn") % 3).alias("model"))
 
 
-ATTEMPTS = """(SELECT CAST(conv_id // 3 AS BIGINT) AS doc, conv_id AS page, turn + 1 AS step, 'm' || turn % 3 AS model, CASE (conv_id + turn) % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'park' WHEN 2 THEN 'park' WHEN 3 THEN 'retire'
- WHEN 4 THEN CASE WHEN conv_id % 2 = 1 THEN 'retire' WHEN turn % 2 = 0 THEN 'retry_plain' ELSE 'fatal' END ELSE CASE WHEN conv_id % 2 = 1 THEN 'retire' ELSE 'fatal' END END AS outcome FROM conversations)"""
+ATTEMPTS = r"""(SELECT doc, page, step, model, CASE WHEN code BETWEEN 200 AND 299 THEN 'ok' WHEN code = 429 OR code >= 500 THEN 'park' WHEN code = 404 OR (code IN (400, 403) AND regexp_matches(said, '(?i)models/[\w.-]+ is not found')) THEN 'retire' WHEN code = 400 AND regexp_matches(said, '(?i)thinking') AND thinks THEN 'retry_plain' ELSE 'fatal' END AS outcome
+FROM (SELECT CAST(conv_id // 3 AS BIGINT) AS doc, conv_id AS page, turn + 1 AS step, 'm' || turn % 3 AS model, turn % 2 = 0 AS thinks, list_extract([200, 429, 503, 404, 400, 403], CAST((conv_id + turn) % 6 + 1 AS BIGINT)) AS code, CASE WHEN conv_id % 2 = 0 THEN 'Thinking is not supported' ELSE 'models/x-1 is not found' END AS said FROM conversations))"""
 
 
 @query(f"SELECT doc, page, step, outcome FROM {ATTEMPTS}")
@@ -361,10 +414,14 @@ def convert_summary(spark, sf):
     return chain.conversion_path(chain.page_outcomes(attempts(spark, sf)))
 
 
-@query("SELECT event_id, event_id % 7 = 4 OR (event_id % 7 IN (2, 3) AND event_id % 2 = 1) AS gone, event_id % 7 = 2 AND event_id % 2 = 0 AS sampling FROM events")
+GONE = r"(?i)models/[\w.-]+ (?:is not found|was not found|not found)|NOT_FOUND|has been (?:retired|deprecated|discontinued)"
+
+
+@query(rf"""SELECT event_id, code = 404 OR (code IN (400, 403) AND regexp_matches(said, '{GONE}')) AS gone, code = 400 AND regexp_matches(said, '(?i)\b(temperature|top_?p|top_?k)\b') AS sampling
+FROM (SELECT event_id, CASE event_id % 7 WHEN 2 THEN 400 WHEN 3 THEN 403 WHEN 4 THEN 404 WHEN 5 THEN 429 ELSE 200 END AS code, CASE event_id % 5 WHEN 0 THEN 'the model has been Retired' WHEN 1 THEN 'bad top_p value ' || event_type WHEN 2 THEN 'models/' || event_type || '-1 is not found' WHEN 3 THEN 'stop_kind ' || event_type ELSE 'Temperature: ' || value END AS said FROM events)""")
 def error_classes(spark, sf):
     code = F.expr("CASE event_id % 7 WHEN 2 THEN 400 WHEN 3 THEN 403 WHEN 4 THEN 404 WHEN 5 THEN 429 ELSE 200 END")
-    said = F.expr("CASE WHEN event_id % 2 = 1 THEN 'the model has been Retired' ELSE 'bad top_p value' END")
+    said = F.expr("CASE event_id % 5 WHEN 0 THEN 'the model has been Retired' WHEN 1 THEN concat('bad top_p value ', event_type) WHEN 2 THEN concat('models/', event_type, '-1 is not found') WHEN 3 THEN concat('stop_kind ', event_type) ELSE concat('Temperature: ', value) END")
     return read(spark, sf, "events").select("event_id", text.model_is_gone(code, said).alias("gone"), text.sampling_refused(code, said).alias("sampling"))
 
 
@@ -472,19 +529,6 @@ def carve_spans(spark, sf):
     return spans.groupBy("page").agg(F.collect_list(F.struct("t", "b")).alias("s")).select("page", F.inline(layout.carved(F.lit(0), F.lit(100), F.col("s"))))
 
 
-@query()
-def nominate_regions(spark, sf):
-    rows = boxes(spark, sf).withColumn("text", F.when(F.col("n") % 3 == 0, "some longer words here").otherwise("x 1"))
-    return layout.nominated(rows.where("n > 2"), rows.where("n <= 2").withColumn("width", F.lit(200)))
-
-
-@query()
-def emit_tex(spark, sf):
-    first = Window.partitionBy("page").orderBy("t", "l", "id")
-    items = boxes(spark, sf).withColumns({"ord": F.row_number().over(first), "kind": F.when(F.col("n") == 1, "equation").otherwise("text"), "doc": F.floor(F.col("page") / 8), "block": F.col("n") % 2, "par": F.lit(1)})
-    return layout.emitted(items, tex.escape)
-
-
 @query("SELECT vec_id, CAST(round(t, 6) AS DOUBLE) AS threshold, CAST(len(list_filter(p, lambda x: x < t)) AS BIGINT) AS ink FROM (SELECT vec_id, p, greatest(least(list_avg(p) - list_stddev_pop(p), 200), 60) AS t FROM (SELECT vec_id, list_transform(embedding, lambda x: round(128 + 100 * CAST(x AS DOUBLE), 3)) AS p FROM embeddings))")
 def grey_threshold(spark, sf):
     """Threshold and ink of pixel vectors: mean less deviation, between 60 and 200."""
@@ -542,3 +586,6 @@ def bare_aliases(spark, sf):
 def producers(spark, sf):
     letters = F.array(*(F.lit(x) for x in "abbac"))
     return read(spark, sf, "pages").select("page_id", requests.producer(F.col("url"), [("/en/", "english"), ("/de/", "german")]).alias("producer"), requests.without(letters, F.array(F.lit("a"))).alias("kept"))
+
+
+from quire import file_queries, page_queries  # noqa: E402, F401 - they register theirs

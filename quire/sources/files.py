@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +57,37 @@ def rewritten(path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc, total, dropped, unit) for each page of docs (doc, total) that is converted."""
-    kept = F.least(F.col("total"), F.lit(MOST_PAGES))
-    return docs.select("doc", "total", F.greatest(F.lit(0), F.col("total") - MOST_PAGES).alias("dropped"), F.explode(F.sequence(F.lit(1), F.greatest(kept, F.lit(1)))).alias("unit"))
+    """(doc, total, dropped, unit) for each page of docs (doc, total) that is converted; a document whose pages couldn't be counted (null) has one."""
+    total = F.coalesce(F.col("total"), F.lit(1))
+    kept = F.greatest(F.least(total, F.lit(MOST_PAGES)), F.lit(1))
+    return docs.select("doc", total.alias("total"), F.greatest(F.lit(0), total - MOST_PAGES).alias("dropped"), F.explode(F.sequence(F.lit(1), kept)).alias("unit"))
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (name, content) as files of these names into a folder, a URI that pyarrow can open; gives (name, bytes).
+
+    A file is written under a name of its attempt and then moved, so a task that
+    runs again, or twice, leaves one whole file. Of equal names the last one moved
+    stays. Runs when the result is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/.{attempt}.{name}") as f:
+                    f.write(content)
+                store.move(f"{root}/.{attempt}.{name}", f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(b.column(1)).cast(pa.int64())], names=["name", "bytes"])
+
+    return rows.select("name", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")).mapInArrow(run, "name string, bytes bigint")
 
 
-def write_tex(docs: DataFrame, folder: str) -> None:
-    """Writes docs (name, tex) as text, a folder for each safe name."""
-    docs.select(filename_safe(F.col("name")).alias("name"), F.col("tex").alias("value")).write.partitionBy("name").mode("overwrite").option("lineSep", "\n").text(folder)
+def write_tex(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes docs (name, tex) as name.tex, the name made safe; gives (name, bytes)."""
+    return write_files(docs.select(F.concat(filename_safe(F.col("name")), F.lit(".tex")).alias("name"), F.col("tex").alias("content")), folder)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +13,21 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: that of spark.checkpoint.dir, else the warehouse."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one of this driver only in a local session without it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (where or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if where:
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
+    return own_folder()
+
+
+@functools.cache
+def own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -53,10 +53,23 @@ def limiter_rows():
 def test_limiter_equals_a_loop(spark):
     rows = limiter_rows()
     log = spark.createDataFrame([("convert", *r) for r in rows], "group string, caller string, micros bigint, event_id bigint")
-    out = {r.event_id: (r.limited, r.retry_after) for r in limiter.limited(spark, log, 4, 30).collect()}
+    out = {r.event_id: (r.limited, r.retry_after) for r in limiter.limited(spark, log, {"convert": (4, 30)}).collect()}
     assert out == brute_limiter(rows, 4, 30) and any(x for x, _ in out.values())
-    assert not any(r.limited for r in limiter.limited(spark, log, 0, 30).collect())
-    assert limiter.limited(spark, log.where("event_id < 0"), 4, 30).count() == 0
+    assert not any(r.limited for r in limiter.limited(spark, log, {"convert": (0, 30)}).collect())
+    assert limiter.limited(spark, log.where("event_id < 0")).count() == 0 and limiter.limited(spark, log, {}).where("limited").count() == 0
+
+
+def test_sessions_cut_callers_where_they_paused(spark):
+    rows = limiter_rows()
+    log = spark.createDataFrame([("convert", *r) for r in rows], "group string, caller string, micros bigint, event_id bigint")
+    window = 3_000_000
+    out = {r.event_id: (r.caller, r.session) for r in limiter.sessions(log, F.lit(window)).collect()}
+    want, last = {}, {}
+    for c, t, e in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        n, before = last.get(c, (0, t))
+        last[c] = (n + (t - before > window), t)
+        want[e] = (c, last[c][0])
+    assert out == want and max(n for _, n in want.values()) > 20
 
 
 def test_limiter_stream_equals_the_batch(spark, tmp_path):
@@ -68,18 +81,21 @@ def test_limiter_stream_equals_the_batch(spark, tmp_path):
         part = rows[k * 267 : (k + 1) * 267]
         spark.createDataFrame([("convert", *r) for r in part], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log/p{k}")
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log/")
-    got = tables.run_to_end(spark, limited_stream(stream, 4, 30).writeStream, "limited")
+    got = tables.run_to_end(spark, limited_stream(stream, {"convert": (4, 30)}).writeStream, "limited")
     out = {r.event_id: (r.limited, r.retry_after) for r in got.collect()}
     assert out == brute_limiter(rows, 4, 30)
 
 
 def test_availability(spark):
     log = spark.createDataFrame([("a", 10, 1, False, 429, 0), ("b", 10, 2, False, 503, 60), ("b", 20, 3, True, 200, 0), ("c", 5, 4, False, 429, 7)], "model string, at bigint, event_id bigint, ok boolean, status int, retry_after int")
+    gone = log.withColumn("gone", F.col("model") == "c")
+    assert {r.model: r.until for r in availability.latest_outages(gone).collect()} == {"a": 910, "c": 86_405}
     models = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "model string, ord int")
     out = availability.latest_outages(log)
     assert {r.model: r.until for r in out.collect()} == {"a": 910, "c": 12}
     assert {r.model for r in availability.available(models, out, 11).collect()} == {"b"}
     assert {r.model for r in availability.available(models, out, 12).collect()} == {"b", "c"}
+    assert {r.model for r in availability.available(models, out, spark.range(12, 13).toDF("x")).collect()} == {"b", "c"}
     assert tuple(availability.status(models, out, 0).first()) == (True, "b", 1, None)
     assert tuple(availability.status(models.where("model <> 'b'"), out, 0).first()) == (False, None, 0, 12)
     cases = [(200, "", True, "ok"), (429, "", True, "park"), (500, "not found", True, "park"), (404, "", True, "retire"), (400, "models/x was not found", True, "retire"), (400, "Thinking", True, "retry_plain"), (400, "thinking", False, "fatal"), (401, None, True, "fatal")]
@@ -95,6 +111,21 @@ def test_chain(spark):
     assert {r.doc: (r.pages, r.ai_pages, r.fallback_pages, r.path) for r in chain.conversion_path(pages).collect()} == {1: (3, 1, 2, "mixed"), 2: (1, 1, 0, "ai"), 3: (1, 0, 1, "converters")}
 
 
+def test_rounds(spark):
+    kind = "doc int, page int, step int, speculative boolean, ok boolean, retryable boolean, next_attempt int, same_model boolean, without_thinking boolean, error string"
+    move = lambda k, n: (False, False, True, n, False, False, "busy")
+    rows = [
+        (1, 1, 1, True, True, True, 0, False, False, ""), (1, 2, 1, True, False, True, None, False, False, "burst"), (1, 2, 2, *move(0, 2)), (1, 2, 3, False, False, True, 2, False, True, ""), (1, 2, 4, False, True, True, 0, False, False, ""),
+        (1, 3, 1, False, False, True, 1, True, False, ""), (1, 3, 2, False, False, True, 1, True, False, ""), (1, 4, 1, False, True, True, 0, False, False, ""),
+        (2, 1, 1, False, False, True, None, False, False, ""), (3, 1, 1, False, False, False, 1, False, False, "bad file"), *((4, 1, k, *move(0, k)) for k in range(1, 13)), (5, 1, 1, *move(0, 1)),
+    ]
+    out = {(r.doc, r.page): (r.ok, r.steps, r.attempt, r.thinking, r.resent, r.exhausted, r.error) for r in chain.rounds(spark.createDataFrame(rows, kind)).collect()}
+    assert out == {
+        (1, 1): (True, 0, 0, True, False, False, ""), (1, 2): (True, 3, 2, False, False, False, ""), (1, 3): (False, 2, 2, True, True, False, chain.NOT_SENT),
+        (2, 1): (False, 1, 0, True, False, True, chain.NO_QUOTA), (3, 1): (False, 1, 0, True, False, False, "bad file"), (4, 1): (False, 10, 10, True, False, False, chain.UNAVAILABLE), (5, 1): (False, 1, 1, True, False, False, chain.UNAVAILABLE),
+    }
+
+
 def test_layout(spark):
     lines = spark.createDataFrame([(1, 1, 10, 0, 90, 20, "A long sentence of text.", 90, 1), (1, 2, 80, 40, 120, 60, "lim =1", 5, 1), (1, 3, 0, 100, 90, 120, "x", 80, 1)], "page int, id int, l int, t int, r int, b int, text string, min_conf int, block int")
     boxes = spark.createDataFrame([(1, 10, 0, 0, 200, 60, 200), (1, 11, 0, 200, 50, 205, 200), (1, 12, 0, 300, 100, 330, 200), (1, 13, 0, 2, 200, 18, 200), (1, 14, 0, 98, 200, 122, 200)], "page int, id int, l int, t int, r int, b int, width int")
@@ -135,6 +166,11 @@ def test_scores(spark):
     assert got == {"a": (2, 1, 0.75), "b": (1, 0, 0.0), None: (3, 1, 0.6)}
     s = metrics.spread(spark.createDataFrame([("g", 4), ("g", 1), ("g", 3), ("g", 3)], "g string, v int"), "g", "v").first()
     assert (s.least, s.median, s["most"]) == (1, 3, 4)
+    rng = random.Random(3)
+    many = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, float(rng.randrange(5))])) for _ in range(5000)] + [("one", 2.0), ("none", None), (None, 1.0), (None, 3.0)]
+    out = metrics.spread(spark.createDataFrame(many, "g string, v double"), "g", "v", accuracy=100).collect()
+    sort = {g: sorted(v for x, v in many if x == g and v is not None) for g, _ in many}
+    assert {r.g: (r.least, r.median, r["most"]) for r in out} == {g: (v[0], v[len(v) // 2], v[-1]) for g, v in sort.items() if v}
 
 
 def test_text_columns(spark):
@@ -164,8 +200,10 @@ def test_sources(spark, tmp_path):
     docs = spark.createDataFrame([(1, 12), (2, 0)], "doc int, total int")
     got = files.units(docs).groupBy("doc").agg(F.max("unit").alias("u"), F.max("dropped").alias("d")).orderBy("doc").collect()
     assert [tuple(r) for r in got] == [(1, 10, 2), (2, 1, 0)]
-    files.write_tex(spark.createDataFrame([("a b.pdf", "x\ny")], "name string, tex string"), f"{tmp_path}/out")
-    assert (tmp_path / "out" / "name=a_b").is_dir()
+    made = files.write_tex(spark.createDataFrame([("a b.pdf", "x\ny"), ("é", None)], "name string, tex string"), f"file://{tmp_path}/out").collect()
+    assert sorted((r.name, r.bytes) for r in made) == [("_.tex", 0), ("a_b.tex", 3)] and (tmp_path / "out" / "a_b.tex").read_text() == "x\ny"
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.endswith(".crc")) == ["_.tex", "a_b.tex"]
+    assert [r.unit for r in files.units(spark.createDataFrame([(1, None)], "doc int, total int")).collect()] == [1]
 
 
 def page(height=400, width=300):
@@ -195,7 +233,9 @@ def test_images(spark):
     assert images.measure_ink(rgb, (0, 0, 300, 90)) == (30, 40, 268, 60) and images.measure_ink(rgb[:20], (0, 0, 9, 9)) is None
     df = spark.createDataFrame([("x", bytearray(p.tobytes()))], "path string, content binary")
     r = images.page_regions(df, lambda c: np.frombuffer(c, np.uint8).reshape(400, 300)).first()
-    assert r.path == "x" and r.angle == 0.0 and len(r.boxes) == 6
+    assert r.path == "x" and r.angle == 0.0 and len(r.boxes) == 6 and r.note is None
+    bad = images.page_regions(df.union(spark.createDataFrame([("y", bytearray(b"no"))], df.schema)), lambda c: np.frombuffer(c, np.uint8).reshape(400, 300)).collect()
+    assert [(r.path, r.note, r.boxes is None) for r in bad] == [("x", None, False), ("y", "could not be read: ValueError", True)]
 
 
 def test_runs_join_close_bands():
@@ -210,11 +250,11 @@ def test_request_rules(spark):
     assert form("n", "e", "12345678", "12345678", True) is None
     assert [form("", "e", "x", "x", True), form("n", "e", "x", "y", True), form("n", "e", "x", "x", None), form("n", "e", "12345678", "12345678", None)] == requests.FORM_ERRORS
     assert [value(requests.session_valid(F.lit(s), F.lit(i), F.lit(2_592_100))) for s, i in ((True, 100), (True, 99), (False, 100), (True, None))] == [True, False, False, False]
-    good = {"aud": "p", "iss": "https://securetoken.google.com/p", "sub": "u", "exp": 101, "iat": 160, "auth_time": 50, "disabled": False, "valid_since": 50}
-    for change, want in (({}, True), ({"exp": 100}, False), ({"iat": 161}, False), ({"aud": "q"}, False), ({"sub": ""}, False), ({"disabled": True}, False), ({"valid_since": 51}, False), ({"valid_since": None, "disabled": None}, True)):
+    good = {"alg": "RS256", "kid": "k", "aud": "p", "iss": "i/p", "sub": "u", "exp": 101, "iat": 160, "auth_time": 50, "disabled": False, "valid_since": 50}
+    for change, want in (({}, True), ({"exp": 100}, False), ({"iat": 161}, False), ({"aud": "q"}, False), ({"alg": "none"}, False), ({"kid": "x"}, False), ({"iss": "i/q"}, False), ({"sub": ""}, False), ({"disabled": True}, False), ({"valid_since": 51}, False), ({"valid_since": None, "disabled": None}, True)):
         kinds = {"exp": "bigint", "iat": "bigint", "auth_time": "bigint", "valid_since": "bigint", "disabled": "boolean"}
         claims = F.struct(*(F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in (good | change).items()))
-        assert value(requests.claims_valid(claims, "p", F.lit(100))) is want
+        assert value(requests.claims_valid(claims, "p", "i/p", ["k"], F.lit(100))) is want
     assert [value(requests.too_large(F.lit(x))) for x in ("1048576", "1048577", "x", None)] == [False, True, False, False]
     assert value(requests.message(F.lit(None).cast("string"), {"A": "b"}, "c")) == "c" and value(requests.terms_outdated(F.lit(None).cast("string"), "2")) is False
     assert value(requests.without(F.array(*map(F.lit, "abab")), F.array(F.lit("a")))) == ["b", "b"]
