@@ -325,3 +325,22 @@ def text_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as MPEG audio."""
     return text_to_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# The tag and the head of a frame are written out; the rest is put together as hexadecimal text.
+OP10_SQL = """
+WITH tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n))),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, n_bytes, h || repeat('FF', CAST(CASE WHEN n_bytes = 0 THEN 576 ELSE (576 - n_bytes % 576) % 576 END AS BIGINT)) AS h FROM d),
+f AS (SELECT *, length(h) // 1152 AS n, 'FFF2D8C461A6000000000000000000' AS head, '4944330400000000001254495432000000080000037061796C6F6164' AS tag FROM p),
+m AS (
+  SELECT *, tag || rpad(head || '496E666F00000007' || printf('%08X', n) || printf('%08X', (n + 1) * 648) || array_to_string(list_transform(range(100), lambda i: printf('%02X', least(255, (i * n // 100 + 1) * 256 // (n + 1)))), ''), 1296, '0')
+    || array_to_string(list_transform(range(n), lambda i: head || substr(h, 1152 * i + 1, 1152) || repeat('0', 114)), '') AS media FROM f
+)
+SELECT doc_id, n_bytes, length(h) // 2 AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(right(h, 64), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS tail_crc32,
+  length(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  'mpeg2 layer3 mono 16000 Hz, ' || n || ' frames, ' || n * 576 || ' samples, 0 bad, 0 skipped, table ' || n || '/' || (n + 1) * 648 AS feature,
+  n AS n_frames, n * 576 AS n_samples, 16000 AS sample_rate, n * 576 / CAST(16000 AS DOUBLE) AS duration, 0 AS bad_checksums, CAST(0 AS BIGINT) AS skipped_bytes, list_transform(range(n), lambda i: length(tag) // 2 + 648 * (i + 1)) AS seek_offsets
+FROM m, tab
+"""

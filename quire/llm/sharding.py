@@ -35,8 +35,9 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_key(col: Column) -> Column:
-    """A stable 64-bit key of any column; null is a key like any other."""
-    return F.xxhash64(F.coalesce(col.cast("string"), F.lit("\0null")))
+    """A stable key of any column: the first 60 bits of the MD5 of its text, which any system can compute; null is a key like any other."""
+    digits = F.substring(F.md5(F.coalesce(col.cast("string"), F.lit("\0null")).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def assign_shards(spark: SparkSession, df: DataFrame, key: Column, shards: int, grown: int | None = None) -> DataFrame:
@@ -82,3 +83,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.lit("key").alias("law")
     )
     return assign_shards(spark, docs, F.col("doc_id"), 24).select("doc.*", "shard", "slot", "grown_shard")
+
+
+# A CRC-32 of bytes as a fold over a table of 256 values; jump hashing as a recursion over exact 128-bit products.
+OP8_SQL = """
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n))),
+d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM d, tab),
+j AS (
+  SELECT doc_id, n, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT) AS state, CAST(-1 AS BIGINT) AS here, CAST(0 AS BIGINT) AS nxt FROM documents, (VALUES (24), (25)) t(n)
+  UNION ALL
+  SELECT doc_id, n, s, nxt, CAST(floor((nxt + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(s // 8589934592 AS DOUBLE) + 1))) AS BIGINT) FROM (SELECT *, (state * 2862933555777941757 + 1) % CAST(18446744073709551616 AS HUGEINT) AS s FROM j WHERE nxt < n)
+), p AS (SELECT doc_id, CAST(max(here) FILTER (n = 24) AS INT) AS shard, CAST(max(here) FILTER (n = 25) AS INT) AS grown_shard FROM j GROUP BY doc_id)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM c JOIN p USING (doc_id)
+"""

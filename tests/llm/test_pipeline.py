@@ -1,6 +1,8 @@
 """Every stage of the pipeline against plain code, on what the stage before has kept."""
 
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -10,6 +12,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from quire.llm import common, sequences, toxicity
 
+from ..conftest import ROOT
 from .test_other_ops import plain_mix
 from .test_text_ops import brute_components, brute_phrases
 
@@ -83,3 +86,11 @@ def test_run_and_registration(spark):
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d", q)}
     out = corpus_pipeline.run(spark, SMALL)
     assert out.where("n_tokens > 0").count() == out.select("slot").distinct().count() > 0
+
+
+def test_errors_inside_the_subpackage_are_not_swallowed(tmp_path):
+    for f in ("quire", "__spark_entry__.py", "corpus_pipeline.py"):
+        subprocess.run(["cp", "-r", f"{ROOT}/{f}", str(tmp_path)], check=True)
+    (tmp_path / "quire" / "llm" / "queries.py").write_text("from quire.llm.common import no_such_name\n")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert said.returncode and "no_such_name" in said.stderr
