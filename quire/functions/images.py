@@ -107,6 +107,11 @@ def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
     return out
 
 
+def row_change(mask: np.ndarray) -> float:
+    """How much the ink of rows changes from one to the next."""
+    return float((np.diff(mask.sum(1)).astype(float) ** 2).sum())
+
+
 def skew(page: np.ndarray) -> float:
     """The angle that makes rows of ink change most from one to the next: a coarse grid, then the steps round its best angles."""
     factor = ESTIMATE_EDGE / max(page.shape)
@@ -120,7 +125,7 @@ def skew(page: np.ndarray) -> float:
 
     def score(angle: float) -> float:
         if angle not in known:
-            known[angle] = float((np.diff((rotated(ink, angle) > 128).sum(1)).astype(float) ** 2).sum())
+            known[angle] = row_change(rotated(ink, angle) > 128)
         return known[angle]
 
     grid = [round(-SKEW_LIMIT + SKEW_STEP * k, 6) for k in range(int(2 * SKEW_LIMIT / SKEW_STEP) + 1)]

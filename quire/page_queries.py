@@ -131,6 +131,12 @@ def image_rotated(spark, sf):
     return images.mapped(pixel_rows(spark, sf), "vec_id", "px", (8, 8), lambda x: {"pixels": images.rotated(x, 7.0).ravel().tolist()}, "pixels array<int>")
 
 
+@query(f"SELECT vec_id, CAST(list_sum(list_transform(range(1, 8), lambda y: (r[y + 1] - r[y]) * (r[y + 1] - r[y]))) AS DOUBLE) AS change FROM (SELECT vec_id, list_transform(range(8), lambda y: len(list_filter(px[8 * y + 1 : 8 * y + 8], lambda x: x < 128))) AS r FROM {pixels()})")
+def image_row_changes(spark, sf):
+    """What a page is straightened by: the change of ink from row to row."""
+    return images.mapped(pixel_rows(spark, sf), "vec_id", "px", (8, 8), lambda x: {"change": images.row_change(x < 128)}, "change double")
+
+
 @query(f"SELECT vec_id, CAST(list_position(px, list_max(px)) - 1 AS INT) AS best FROM {pixels()}")
 def image_first_max(spark, sf):
     return images.mapped(pixel_rows(spark, sf), "vec_id", "px", (64,), lambda x: {"best": images.first_max(x)}, "best int")

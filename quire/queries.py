@@ -227,17 +227,6 @@ def static_validate(spark, sf):
     return sources(spark, sf).select("doc_id", tex.static_validate(F.col("tex")).alias("issues"))
 
 
-@query()
-def repair_documents(spark, sf):
-    return sources(spark, sf).select("doc_id", tex.repair(F.col("tex")).alias("r")).select("doc_id", "r.tex", "r.fixes", "r.issues")
-
-
-@query()
-def sanitise_math(spark, sf):
-    expr = F.expr(r"concat(CASE doc_id % 6 WHEN 0 THEN '\\frac{a}{' WHEN 1 THEN 'a \\\\ b' WHEN 2 THEN 'x \\right)' WHEN 3 THEN '\\input{x}' WHEN 4 THEN 'x } \\tag{1}' ELSE '50% $' END, text)")
-    return read(spark, sf, "documents").select("doc_id", tex.sanitise(expr).alias("r")).select("doc_id", "r.latex", "r.ok", "r.reason")
-
-
 LOG = "concat('(./x.tex\n! LaTeX Error: File `pkg', CAST(event_id % 7 AS STRING), '.sty'' not found.\nl.', CAST(event_id % 9 AS STRING), ' x\nmore  \nFile `', event_type, '.sty'' not found\n')"
 
 
@@ -462,13 +451,6 @@ def structure_score(spark, sf):
     return sources(spark, sf).select("doc_id", total.alias("elements"), text.structure_score(t, t).alias("self"))
 
 
-@query()
-def text_and_math_score(spark, sf):
-    t = F.col("tex")
-    shown = read(spark, sf, "benchmark").withColumn("tex", F.concat(F.lit("$x_{1}+y$ \\[ \\frac{a}{b} \\] "), "text"))
-    return shown.select("item_id", text.plain_text(t).alias("plain"), text.text_score(t, F.concat(t, F.lit(" tail"))).alias("text"), tex.math_score(text.math_expressions(t), text.math_expressions(F.lit("$x_1+z$"))).alias("math"))
-
-
 @query("SELECT event_type, min(value) AS least, list_sort(list(value))[len(list(value)) // 2 + 1] AS median, max(value) AS most FROM events GROUP BY event_type")
 def upper_median(spark, sf):
     return metrics.spread(read(spark, sf, "events"), "event_type", "value")
@@ -588,4 +570,4 @@ def producers(spark, sf):
     return read(spark, sf, "pages").select("page_id", requests.producer(F.col("url"), [("/en/", "english"), ("/de/", "german")]).alias("producer"), requests.without(letters, F.array(F.lit("a"))).alias("kept"))
 
 
-from quire import file_queries, page_queries  # noqa: E402, F401 - they register theirs
+from quire import file_queries, page_queries, tex_queries  # noqa: E402, F401 - they register theirs
