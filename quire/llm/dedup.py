@@ -39,9 +39,10 @@ SKETCH = 512  # bits
 SIMILAR = 0.75
 PLAUSIBLE = 0.45  # estimated similarity under which a pair of 0.75 hardly falls
 PAIRS = 256  # of a bucket's size, that share a copy of its first text, about
-PER_ROOT = 8  # classes of a block for each unit of the root of its bucket's size
+SIDE, PER_ROOT = 1024, 8  # classes of a block, or for each unit of the root of its bucket's size
+MOST_INSIDE = 1 << 16  # classes of a block inside the largest component
 BLOCK_SHINGLES = 4 << 20  # of a block, about, at most
-TILE = 8 << 20  # bytes of their texts whose sets are held at once
+TILE, TILE_ROWS = 8 << 20, 1024  # bytes and number of texts whose sets are compared at once
 
 WORD = byte_class(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 
@@ -161,6 +162,11 @@ def xor_bits() -> Column:
     return sum(parts[1:], parts[0])
 
 
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, salt): every class of a bucket with the bucket's first. A leader's pairs are spread over its salts, PAIRS of a bucket to each, about."""
+    return members.where("a <> b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")).distinct()
+
+
 def salted(rows: DataFrame, leaders: DataFrame) -> DataFrame:
     """rows, which have a column b, once for each salt of that leader."""
     return rows.join(leaders, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
@@ -288,7 +294,7 @@ def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def tiles(place: np.ndarray, text: pa.Array = text) -> list[np.ndarray]:
             off = text_bytes(text.take(pa.array(place)))[1]
-            return [place[i:j] for i, j in chunks(off, TILE)]
+            return [place[k : min(j, k + TILE_ROWS)] for i, j in chunks(off, TILE) for k in range(i, j, TILE_ROWS)]
 
         def find(x: int, root: dict[int, int] = root) -> int:
             while (up := root.get(x, x)) != x:
@@ -317,9 +323,11 @@ def open_links(spark: SparkSession, members: DataFrame, reps: DataFrame, texts:
     """Links (a, b) between different components of links, from the buckets whose classes lie in several of them.
 
     In such a bucket the classes outside its largest component meet all others;
-    those inside it meet only these. Blocks of classes are compared pair by pair
-    of blocks: of PER_ROOT * sqrt(n) classes, so that a class is copied sqrt(n) /
-    PER_ROOT times at most, and fewer where their sets are large.
+    those inside it meet only these. Classes are compared block by block. A block
+    of classes outside has `side` of them, 1,024 or 8 * sqrt(n), fewer where their
+    sets are large, and one of classes inside as many as make side * side pairs:
+    so a few outsiders are copied once or twice, and no class more than sqrt(n) / 8
+    times in buckets of over 16,384.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     comp = components(spark, links, rounds=2)  # classes that are still apart are only compared once more
@@ -327,8 +335,11 @@ def open_links(spark: SparkSession, members: DataFrame, reps: DataFrame, texts:
     labelled = table(spark, own.join(reps.select(F.col("row").alias("a"), "n_shingles"), "a"), "open")
     parts_ = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     whole = parts_.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    per = F.least(PER_ROOT * F.sqrt("n"), F.col("n") * float(BLOCK_SHINGLES) / F.col("size"))
-    keys = whole.select("key", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / per).cast("int").alias("few"), F.ceil(F.col("top.n") / per).cast("int").alias("many"))
+    side = F.greatest(F.lit(1.0), F.least(F.greatest(F.lit(float(SIDE)), PER_ROOT * F.sqrt("n")), F.col("n") * float(BLOCK_SHINGLES) / F.col("size")))
+    outside = (F.col("n") - F.col("top.n")).cast("double")
+    keys = whole.select("key", F.col("top.component").alias("top"), F.col("top.n").alias("k"), outside.alias("m"), side.alias("side")).withColumn("few", F.ceil(F.col("m") / F.col("side")).cast("int"))
+    wide = F.least(F.col("side") * F.col("side") * F.col("few") / F.col("m"), F.lit(float(MOST_INSIDE)))
+    keys = keys.select("key", "top", "few", F.ceil(F.col("k") / wide).cast("int").alias("many"))
     rows = labelled.join(keys, "key").withColumn("inside", F.col("component") == F.col("top"))
     hashed = F.xxhash64(F.lit(3), "a")
     rows = rows.withColumn("own", F.when(F.col("inside"), F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
@@ -364,8 +375,7 @@ def classes_and_links(spark: SparkSession, signs: DataFrame) -> tuple[DataFrame,
     shared_rows = members.select(F.col("a").alias("row")).distinct()
     dealt = signs.where("n_shingles > 0").select("row", "text").repartition(n, "row").join(shared_rows, "row", "left_semi")
     with bucketed(spark, dealt, "texts", "row", n) as texts:
-        salt = F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")
-        star = plausible(members.where("a <> b").select("a", "b", salt).distinct(), reps, leaders)
+        star = plausible(star_pairs(members), reps, leaders)
         links = table(spark, confirmed(spark, star, texts, leaders), "links")
         links = links.unionByName(open_links(spark, members, reps, texts, links))
     drop_tables(spark, reps, shared, leaders, members)

@@ -98,7 +98,10 @@ def test_near_duplicates_carry_clashing_columns(spark):
 
 
 def test_bucket_blocks_find_links_between_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SIDE", 5)
     monkeypatch.setattr(dedup, "PER_ROOT", 1)
+    monkeypatch.setattr(dedup, "TILE_ROWS", 3)
+    monkeypatch.setattr(dedup, "MOST_INSIDE", 7)
     monkeypatch.setattr(dedup, "PAIRS", 3)
     monkeypatch.setattr(dedup, "TILE", 2000)
     texts = near_corpus()
@@ -106,6 +109,64 @@ def test_bucket_blocks_find_links_between_blocks(spark, monkeypatch):
     assert sorted(map(tuple, out)) == brute_components(list(enumerate(texts)))
 
 
+def family(rng, n, common, own):
+    """Texts that share most words: one bucket of one band holds a large part of them."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(common)]
+    return [" ".join([*base[:k], *(word() for _ in range(own)), *base[k:]]) for k in (rng.randrange(common) for _ in range(n))]
+
+
+def test_no_task_holds_a_hot_bucket(spark, monkeypatch):
+    """A cluster of near copies, and a family too far apart to be one: no leader's pairs and no pair of blocks are many."""
+    rng, seen = random.Random(11), {}
+    monkeypatch.setattr(dedup, "SIDE", 64)
+    monkeypatch.setattr(dedup, "PAIRS", 64)
+    monkeypatch.setattr(dedup, "PER_ROOT", 2)
+    close, far = family(rng, 1500, 150, 1), family(rng, 800, 60, 7)
+    real, original, groups_of = dedup.star_pairs, dedup.worth_reading, dedup.groups_of
+
+    def pairs(members):
+        out = common.table(spark, real(members), "pairs")
+        rows = out.groupBy("b", "salt").count().agg(F.max("count"), F.sum("count")).first()
+        seen["pairs"] = (rows[0], rows[1])
+        return out
+
+    def counted(batches):
+        for rows in groups_of(batches):
+            assert rows.num_rows <= 64 * 64 + 2 * 64 * 2
+            yield from original(iter(rows.to_batches()))
+
+    monkeypatch.setattr(dedup, "star_pairs", pairs)
+    monkeypatch.setattr(dedup, "worth_reading", counted)
+    texts = close + far
+    out = dedup.near_duplicates(spark, documents(spark, texts)).select("id", "component").collect()
+    groups = Counter(r.component for r in out)
+    assert groups[0] >= 1495 and seen["pairs"][1] > 3000 and seen["pairs"][0] < 400
+    sets = [shingle_set(t) for t in far]
+    comp = {r.id: r.component for r in out}
+    for x in range(0, len(far), 40):
+        for y in range(len(far)):
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                assert comp[1500 + x] == comp[1500 + y]
+
+
+def test_recall_on_a_real_table(spark):
+    """Of every tenth document all links to any other end in one component."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    comp = {r.id: r.component for r in dedup.near_duplicates(spark, documents(spark, [t for _, t in rows], [i for i, _ in rows])).select("id", "component").collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    links = lost = 0
+    for x in range(0, len(rows), 10):
+        for y in range(len(rows)):
+            if x != y and sets[x] and sets[y] and 4 * min(len(sets[x]), len(sets[y])) >= 3 * max(len(sets[x]), len(sets[y])):
+                both = len(sets[x] & sets[y])
+                if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                    links += 1
+                    lost += comp[rows[x][0]] != comp[rows[y][0]]
+    assert links > 10 and not lost
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(1)
     errors = []
