@@ -142,7 +142,7 @@ def informative(bags: DataFrame, most: int) -> tuple[np.ndarray, float]:
 
 def bounded(bags: DataFrame, known: np.ndarray, texts: int, most: int) -> pa.Table:
     """(label, slots) of the first bags in order: so many texts at most, and as far as their known terms add up to `most`."""
-    slot = np.full(1 << BITS, -1, np.int32)
+    slot = np.full(1 << BITS, -1, np.int16)
     slot[known] = np.arange(len(known))
     held = bags.sparkSession.sparkContext.broadcast(slot)
 
@@ -153,7 +153,7 @@ def bounded(bags: DataFrame, known: np.ndarray, texts: int, most: int) -> pa.Tab
             at = upto[np.concatenate([[0], np.cumsum(size)])].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(own[own >= 0]))], names=["order", "label", "slots"])
 
-    rows = bags.mapInArrow(slots, "order bigint, label int, slots array<int>").withColumn("n", F.size("slots") + 1)
+    rows = bags.mapInArrow(slots, "order bigint, label int, slots array<smallint>").withColumn("n", F.size("slots") + 1)
     by = ["order", "label", F.xxhash64("slots")]
     upto = F.sum("n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))  # of a bounded sample
     return rows.orderBy(*by).limit(texts).withColumn("upto", upto).where(F.col("upto") <= most).select("label", "slots").toArrow()
@@ -164,9 +164,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = S
 
     Three parameters bound what is fitted and what reaches the driver: `most`
     labelled texts, `most_terms` terms, and `most_slots` terms of all texts
-    together (four bytes each); texts behind the last bound are left out. Greater
-    bounds only add to what is fitted.
+    together (two bytes each); texts behind the last bound are left out. Greater
+    bounds only add to what is fitted. More than 32,767 terms can't be.
     """
+    if most_terms > np.iinfo(np.int16).max:
+        raise ValueError("at most 32,767 terms can be fitted")
     prepare(spark)
     bags = table(spark, labelled_sample(docs, labels, most).mapInArrow(bag, "order bigint, label int, terms array<int>"), "bags")
     known, share = informative(bags, most_terms)
@@ -174,7 +176,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = S
     drop_tables(spark, bags)
     slots = got.column("slots").combine_chunks()
     size = np.asarray(slots.value_lengths(), np.int64) if len(slots) else np.zeros(0, np.int64)
-    return fit(known, share, np.asarray(slots.flatten(), np.int32), size, np.asarray(got.column("label"), float))
+    return fit(known, share, np.asarray(slots.flatten()), size, np.asarray(got.column("label"), float))
 
 
 def score(spark: SparkSession, df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
