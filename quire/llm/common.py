@@ -213,10 +213,10 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def unit_interval(*cols: Column) -> Column:
-    """A uniform number inside (0, 1) from a hash of the values; null is a value like any other."""
-    h = F.xxhash64(*(F.coalesce(c.cast("string"), F.lit("\0null")) for c in cols))
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+def unit_interval(col: Column, seed: int) -> Column:
+    """A uniform number inside (0, 1), by the first 52 bits of the MD5 of seed and value, which any system can compute; null is a value like any other."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("\0null")))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def dense_index(spark: SparkSession, df: DataFrame, name: str, index: str = "_index") -> DataFrame:

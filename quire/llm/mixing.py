@@ -37,11 +37,12 @@ def sized_rows(df: DataFrame, source: str, text: str, key: str, seed: int, carry
     One pass over the bytes, without a list of the words. A carried text isn't sent to the workers twice.
     """
     doc = F.struct(*(column_of(df, c) for c in carry)).alias("doc")
-    own = [] if text in carry else [column_of(df, text).alias("_text")]
-    rows = df.select(doc, column_of(df, source).cast("string").alias("_source"), unit_interval(column_of(df, key), F.lit(seed)).alias("_u"), *own)
+    apart = text not in carry
+    own = [column_of(df, text).alias("_text")] if apart else []
+    rows = df.select(doc, column_of(df, source).cast("string").alias("_source"), unit_interval(column_of(df, key), seed).alias("_u"), *own)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        buf, off = text_bytes(b.column(3) if own else part(b, carry.index(text)))
+        buf, off = text_bytes(b.column(3) if apart else part(b, carry.index(text)))
         n = np.zeros(b.num_rows, np.int64)
         for i, j in chunks(off):
             n[i:j] = np.diff(word_spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], WORD)[2])
@@ -203,3 +204,34 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     out = mix(spark, docs).where("copies > 0")
     copies = out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return unboxed(copies.sortWithinPartitions("copy").select("doc"))
+
+
+# The same decisions with every source sorted by rank. All sums are of whole numbers and sixteenths, so they are exact in any order.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, (CAST(CAST('0x' || substr(md5('11:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u FROM documents
+), k AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS kind FROM d),
+w AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM k GROUP BY source),
+r AS (
+  SELECT CAST(0 AS DOUBLE) AS unit, 0 AS n
+  UNION ALL
+  SELECT better, n + 1 FROM (SELECT r.unit, r.n, ((SELECT CAST(sum(total) AS DOUBLE) FROM w) - (SELECT coalesce(sum(CASE WHEN total * CAST(3 AS DOUBLE) <= weight * r.unit THEN total * CAST(3 AS DOUBLE) ELSE 0 END), 0) FROM w)) / nullif((SELECT sum(CASE WHEN total * CAST(3 AS DOUBLE) <= weight * r.unit THEN 0 ELSE weight END) FROM w), 0) AS better FROM r) WHERE better > unit * (1 + 1e-12)
+), t AS (SELECT source, total, least(total * CAST(3 AS DOUBLE), weight * (SELECT max(unit) FROM r)) AS target FROM w),
+c AS (SELECT source, kind, CAST(sum(size) AS DOUBLE) AS words, kind / CAST(16 AS DOUBLE) + 1 AS g FROM k GROUP BY source, kind),
+v AS (
+  SELECT c.source, target, g, coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(words * g) OVER (PARTITION BY c.source ORDER BY g DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+    min(g) OVER (PARTITION BY c.source) AS least_g, row_number() OVER (PARTITION BY c.source ORDER BY g DESC) AS i FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+), s AS (SELECT *, CASE WHEN rest > 0 THEN (target - 3 * above) / rest ELSE 3 / g END AS rate FROM v),
+o AS (SELECT source, coalesce(min_by(rate, i) FILTER (rate * g <= 3), max_by(rate, i)) AS rate, min(least_g) AS least_g FROM s GROUP BY source),
+e AS (SELECT k.*, least(CAST(3 AS DOUBLE), least(greatest(o.rate, 0), 3 / o.least_g) * (kind / CAST(16 AS DOUBLE) + 1)) AS want FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source),
+p AS (SELECT *, CAST(floor(want) AS BIGINT) AS whole, want - floor(want) AS p FROM e),
+x AS (SELECT *, want > whole AS open_, CAST(least(floor(u * (1 - p) / (u * (1 - p) + p * (1 - u)) * 4503599627370496), 4503599627370495) AS BIGINT) AS place FROM p),
+f AS (SELECT t.source, t.total, t.target, greatest(0, t.target - sum(x.whole * x.size)) AS rest FROM t JOIN x ON t.source IS NOT DISTINCT FROM x.source GROUP BY t.source, t.total, t.target),
+a AS (SELECT x.*, f.total, f.target, f.rest, sum(CASE WHEN open_ THEN size ELSE 0 END) OVER (PARTITION BY x.source ORDER BY place) AS run FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source),
+b AS (SELECT *, open_ AND run <= rest AS one, rest - coalesce(max(CASE WHEN open_ AND run <= rest THEN run END) OVER (PARTITION BY source), 0) AS left_ FROM a),
+h AS (SELECT *, open_ AND NOT one AND size <= left_ / 4 AS fits FROM b),
+j AS (SELECT *, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) AS run2, sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source, place) AS same FROM h),
+l AS (SELECT *, min(CASE WHEN fits AND run2 > left_ THEN place END) OVER (PARTITION BY source) AS cut FROM j)
+SELECT doc_id, size, total AS source_size, target, (whole + CASE WHEN one OR (fits AND (cut IS NULL OR place < cut OR (place = cut AND (left_ - (run2 - same)) * 2 >= same))) THEN 1 ELSE 0 END) * size AS taken,
+  whole + CASE WHEN one OR (fits AND (cut IS NULL OR place < cut OR (place = cut AND (left_ - (run2 - same)) * 2 >= same))) THEN 1 ELSE 0 END AS copies FROM l
+"""

@@ -26,6 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_benchmark_decontamination": phrases.OP4_SQL, "op6_url_filters": urls.OP6_SQL, "op7_minhash_near_dedup": dedup.OP7_SQL,
+        "op2_mixing": mixing.OP2_SQL, "op4_benchmark_decontamination": phrases.OP4_SQL, "op6_url_filters": urls.OP6_SQL, "op7_minhash_near_dedup": dedup.OP7_SQL,
         "op8_sharding": sharding.OP8_SQL, "op10_media_columns": audio.OP10_SQL,
     }

@@ -487,7 +487,7 @@ def test_mix_equals_sorting(spark):
     rng = random.Random(9)
     rows = [(i, "w " * rng.choice([1, 2, 3, 7, 30, 90, 300]), rng.choice(["a", "b", "c", "d"] + ["a"] * 4)) for i in range(1200)]
     df = documents(spark, rows)
-    u = {r.doc_id: r.u for r in df.select("doc_id", common.unit_interval(F.col("doc_id"), F.lit(11)).alias("u")).collect()}
+    u = {r.doc_id: r.u for r in df.select("doc_id", common.unit_interval(F.col("doc_id"), 11).alias("u")).collect()}
     out = {r.doc.doc_id: r.copies for r in mixing.mix(spark, df).collect()}
     want = plain_mix([(i, len(t.split()), s) for i, t, s in rows], u)
     assert sum(out[i] != want[i] for i in out) <= 2  # the last word of a cut may go either way by rounding

@@ -66,7 +66,7 @@ def test_stages_equal_plain_code(spark):
     assert {r.doc_id: r for r in docs.collect()} == {i: rows[i] for i in want}
 
     docs = kept("mixing")
-    u = {r.doc_id: r.u for r in raw.select("doc_id", common.unit_interval(F.col("doc_id"), F.lit(11)).alias("u")).collect()}
+    u = {r.doc_id: r.u for r in raw.select("doc_id", common.unit_interval(F.col("doc_id"), 11).alias("u")).collect()}
     copies = plain_mix([(i, len(SPACE.findall(rows[i].text or "")), rows[i].source) for i in sorted(want)], u)
     got = Counter(r.doc_id for r in docs.collect())
     assert sum(got[i] != n for i, n in copies.items()) <= 2 and set(got) <= want
