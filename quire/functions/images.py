@@ -26,6 +26,7 @@ SKEW_LIMIT, SKEW_STEP, COARSE_STEP, PEAKS = 15.0, 0.5, 2.0, 3
 ESTIMATE_EDGE = 900
 LEAST_CORRECTION = 0.35
 USEFUL_EDGE, MOST_UPSCALE = 1000, 2.0
+MOST_PIXELS = 64_000_000
 
 Box = tuple[int, int, int, int]
 
@@ -36,6 +37,25 @@ class Decoder(Protocol):
     def __call__(self, content: bytes) -> np.ndarray: ...
 
 
+def oriented(image: np.ndarray, code: int) -> np.ndarray:
+    """The image set upright by its camera's orientation code, 1 to 8: mirrored for 2, 4, 5 and 7, turned for 3 to 8. Other codes change nothing."""
+    turned = image.swapaxes(0, 1) if code in (5, 6, 7, 8) else image
+    if code in (3, 4, 7, 8):
+        turned = turned[::-1]
+    return turned[:, ::-1] if code in (2, 3, 6, 7) else turned
+
+
+def flattened(rgba: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Colours on white, and whether any pixel was see-through. Images without alpha come back as they are; too large ones are refused."""
+    if rgba.shape[0] * rgba.shape[1] > MOST_PIXELS:
+        raise ValueError(f"That image is {round(rgba.shape[0] * rgba.shape[1] / 1e6)} megapixels, which is too large to convert.")
+    if rgba.shape[2] < 4:
+        return rgba, False
+    alpha = rgba[..., 3:].astype(np.int64)
+    mixed = (rgba[..., :3] * alpha + 255 * (255 - alpha) + 127) // 255
+    return mixed.astype(np.uint8), bool((alpha < 255).any())
+
+
 def grey(rgb: np.ndarray) -> np.ndarray:
     r, g, b = (rgb[..., k].astype(np.int64) for k in range(3))
     return ((299 * r + 587 * g + 114 * b) // 1000).astype(np.uint8)
@@ -235,6 +255,7 @@ def page_regions(images: DataFrame, decode: Decoder, key: str = "path", content:
             for c in b.column(1):
                 try:
                     page = decode(c.as_py())
+                    page = flattened(page)[0] if page.ndim == 3 else page
                 except Exception as e:  # noqa: BLE001 - whatever the supplied engine raises costs this image alone
                     rows.append((f"could not be read: {type(e).__name__}", None, None, None, None, None))
                     continue

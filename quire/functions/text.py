@@ -179,6 +179,12 @@ def equation_blocks(tex: Column) -> Column:
     return count_matches(body_of(tex), MATH_BLOCK)
 
 
+def summarised(tex: Column, pages: Column | int = 1) -> Column:
+    """A struct that describes a document: pages, textBlocks, equations, and no uncertain lines."""
+    pages = F.lit(pages) if isinstance(pages, int) else pages
+    return F.struct(F.coalesce(pages, F.lit(1)).cast("bigint").alias("pages"), text_blocks(tex).alias("textBlocks"), equation_blocks(tex).alias("equations"), F.lit(0).alias("uncertainLines"))
+
+
 def fenced_latex(reply: Column) -> Column:
     """The last fenced block that is a document, else the last block, else a bare document, else null."""
     blocks = F.regexp_extract_all(reply, F.lit(r"(?U)```(?:latex|tex)?\s*\n([\s\S]*?)```"), F.lit(1))

@@ -131,6 +131,29 @@ def image_rotated(spark, sf):
     return images.mapped(pixel_rows(spark, sf), "vec_id", "px", (8, 8), lambda x: {"pixels": images.rotated(x, 7.0).ravel().tolist()}, "pixels array<int>")
 
 
+RGBA = "transform(sequence(0, 255), i -> p[((i div 4) + 5 * (i % 4)) % 64])"
+RGBA_SQL = "list_transform(range(256), lambda i: p[(i // 4 + 5 * (i % 4)) % 64 + 1])"
+
+
+@query(f"SELECT vec_id, len(list_filter(range(64), lambda i: px[4 * i + 4] < 255)) > 0 AS transparent, list_transform(range(192), lambda i: CAST((px[4 * (i // 3) + i % 3 + 1] * px[4 * (i // 3) + 4] + 255 * (255 - px[4 * (i // 3) + 4]) + 127) // 255 AS INT)) AS pixels FROM {pixels(RGBA_SQL)}")
+def image_flattened(spark, sf):
+    def kernel(x: np.ndarray) -> dict[str, object]:
+        flat, transparent = images.flattened(x)
+        return {"transparent": transparent, "pixels": flat.ravel().tolist()}
+
+    return images.mapped(pixel_rows(spark, sf, RGBA), "vec_id", "px", (8, 8, 4), kernel, "transparent boolean, pixels array<int>")
+
+
+PLACES = "CASE code WHEN 1 THEN 8 * y + x WHEN 2 THEN 8 * y + 7 - x WHEN 3 THEN 8 * (7 - y) + 7 - x WHEN 4 THEN 8 * (7 - y) + x WHEN 5 THEN 8 * x + y WHEN 6 THEN 8 * (7 - x) + y WHEN 7 THEN 8 * (7 - x) + 7 - y WHEN 8 THEN 8 * x + 7 - y END"
+
+
+@query(f"SELECT vec_id, code, list(CAST(px[{PLACES} + 1] AS INT) ORDER BY y, x) AS pixels FROM (SELECT vec_id, px, code, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, px, unnest(range(64)) AS i FROM {pixels()}), (SELECT CAST(unnest(range(1, 9)) AS INT) AS code)) GROUP BY vec_id, code")
+def image_oriented(spark, sf):
+    """Each picture set upright for every orientation code."""
+    made = images.mapped(pixel_rows(spark, sf), "vec_id", "px", (8, 8), lambda x: {"all": [{"code": c, "pixels": images.oriented(x, c).ravel().tolist()} for c in range(1, 9)]}, "all array<struct<code:int,pixels:array<int>>>")
+    return made.select("vec_id", F.inline("all"))
+
+
 @query(f"SELECT vec_id, CAST(list_sum(list_transform(range(1, 8), lambda y: (r[y + 1] - r[y]) * (r[y + 1] - r[y]))) AS DOUBLE) AS change FROM (SELECT vec_id, list_transform(range(8), lambda y: len(list_filter(px[8 * y + 1 : 8 * y + 8], lambda x: x < 128))) AS r FROM {pixels()})")
 def image_row_changes(spark, sf):
     """What a page is straightened by: the change of ink from row to row."""
