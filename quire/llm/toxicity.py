@@ -1,7 +1,7 @@
 """Toxicity by a factorisation machine over hashed terms.
 
 A text is the set of its terms, hashed to 2^20 ids: lower-cased words, and their
-first four and five bytes, which stand for words that no labelled text has. The
+first five to eight bytes, which stand for words that no labelled text has. The
 score is a logistic of bias, linear weights and pairwise interactions of
 factors, so that two terms that are harmless apart can weigh together.
 """
@@ -24,7 +24,7 @@ MIN_TEXTS = 4  # labelled texts that a term must occur in
 FACTORS = 8
 TERMS = 1 << 14  # that are fitted, at most: those whose share of toxic texts is furthest from chance
 SLOTS = 8_000_000  # fitted terms of all texts together, at most
-PREFIXES = (4, 5)
+PREFIXES = (5, 6, 7, 8)  # bytes
 
 WORD = byte_class(lambda b: b >= 128 or chr(b).isalnum())
 
@@ -176,7 +176,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = S
     drop_tables(spark, bags)
     slots = got.column("slots").combine_chunks()
     size = np.asarray(slots.value_lengths(), np.int64) if len(slots) else np.zeros(0, np.int64)
-    return fit(known, share, np.asarray(slots.flatten()), size, np.asarray(got.column("label"), float))
+    term, label = np.array(slots.flatten()), np.array(got.column("label"), float)
+    del got, slots
+    pa.default_memory_pool().release_unused()  # the batches have been copied
+    return fit(known, share, term, size, label)
 
 
 def score(spark: SparkSession, df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ def plain_score(machine, text):
     hasher = common.SpanHasher()
     ids = set()
     for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
-        for k, piece in enumerate((w, w[:4], w[:5])):
+        for k, piece in enumerate([w, *(w[:n] for n in toxicity.PREFIXES)]):
             buf = np.frombuffer(piece, np.uint8)
             h = hasher(buf, np.array([0]), np.array([len(piece)]))
             ids.add(int((h ^ np.uint64(k << 64 - toxicity.BITS))[0] >> np.uint64(64 - toxicity.BITS)))
