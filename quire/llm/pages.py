@@ -232,23 +232,25 @@ def features(page: list[Block]) -> list[list[str]]:
     share = [b.linked * 2 > len(b.text) for b in page]
     long = [k for k, b in enumerate(page) if b.text.count(" ") >= 12 and not share[k]]
     first, last = (long[0], long[-1]) if long else (0, len(page))
-    out = []
+    out, around = [], {}
     for k, b in enumerate(page):
         words = b.text.count(" ") + 1
         size = sum(words >= x for x in LENGTHS)
         inside = bool({"article", "main"} & set(b.tags) or MAIN_WORDS & set(b.marks))
-        own = [f"in:{t}" for t in b.tags] + [f"mark:{w}" for w in b.marks]
-        own += ["bias", f"tag:{b.tag}", f"size:{size}", f"links:{int(4 * b.linked / max(1, len(b.text)))}:{size > 2}"]
+        if (b.tags, b.marks) not in around:
+            around[b.tags, b.marks] = [f"in:{t}" for t in b.tags] + [f"mark:{w}" for w in b.marks]
+        own = [*around[b.tags, b.marks], "bias", f"tag:{b.tag}", f"size:{size}", f"links:{int(4 * b.linked / max(1, len(b.text)))}:{size > 2}"]
         own.append(f"end:{'stop' if b.text[-1] in '.!?…\"»”' else 'other'}:{size > 2}")
         own.append(f"told:{told}:{inside}:{size > 2}:{share[k]}")
         if not told:
             own.append(f"near:{k > 0 and share[k - 1]}:{k + 1 < len(page) and share[k + 1]}:{share[k]}")
             own.append(f"place:{'before' if k < first else 'after' if k > last else 'within'}:{size > 2}")
-        if SIGNS.search(b.text):
+        short = size < len(LENGTHS)  # a text of 64 words isn't a notice
+        if short and SIGNS.search(b.text):
             own += [f"sign:{size > 3}", f"sign-in:{inside}:{bool(set(b.marks) & REST_WORDS)}"]
             if YEAR.search(b.text):
                 own.append(f"sign-year:{inside}")
-        if ASKS.search(b.text):
+        if short and ASKS.search(b.text):
             own.append(f"asks:{size > 3}:{inside}")
         if b.marks and not set(b.marks) & MAIN_WORDS:
             own.append(f"other-mark:{size > 2}")
@@ -266,27 +268,34 @@ class Field:
     start: np.ndarray
 
     def scores(self, page: list[Block]) -> np.ndarray:
-        out = np.zeros((len(page), 2))
-        for k, own in enumerate(features(page)):
-            ids = [self.names[f] for f in own if f in self.names]
-            out[k] = self.weights[ids].sum(0)
-        return out
+        """Of each block: 0 for the rest, and what main text has over it."""
+        gain = dict(zip(self.names, (self.weights[:, 1] - self.weights[:, 0]).tolist(), strict=True)) if self.names else {}
+        return scored(gain, features(page))
 
 
-def viterbi(f: Field, s: np.ndarray) -> np.ndarray:
-    """The likeliest labels of a chain."""
-    best, back = s[0] + f.start, np.zeros((len(s), 2), np.int64)
-    for k in range(1, len(s)):
-        way = best[:, None] + f.steps
-        back[k] = way.argmax(0)
-        best = way.max(0) + s[k]
-    out = np.empty(len(s), np.int64)
-    out[-1] = best.argmax()
-    for k in range(len(s) - 1, 0, -1):
-        out[k - 1] = back[k][out[k]]
+def scored(gain: dict[str, float], rows: list[list[str]]) -> np.ndarray:
+    out = np.zeros((len(rows), 2))
+    for k, own in enumerate(rows):
+        out[k, 1] = sum(gain.get(x, 0.0) for x in own)
     return out
 
 
+def viterbi(f: Field, s: np.ndarray) -> np.ndarray:
+    """The likeliest labels of a chain; of equally likely ones the rest."""
+    (a, b), back = f.steps.tolist(), []
+    x, y = (s[0] + f.start).tolist()
+    for u, v in s[1:].tolist():
+        way = (x + a[0] < y + b[0], x + a[1] < y + b[1])
+        x, y = (y + b[0] if way[0] else x + a[0]) + u, (y + b[1] if way[1] else x + a[1]) + v
+        back.append(way)
+    now = int(x < y)
+    out = [now]
+    for way in reversed(back):
+        now = int(way[now])
+        out.append(now)
+    return np.array(out[::-1], np.int64)
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     """Over an axis of two."""
     return np.logaddexp(x.take(0, axis), x.take(1, axis))
@@ -308,7 +317,7 @@ def marginals(f: Field, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(a + b - total), pairs
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 100, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 140, rate: float = 0.5, decay: float = 1e-4) -> Field:
     """Fits a field to labelled chains by AdaGrad on the exact gradient of their likelihood, all chains at once."""
     pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))  # the longest first: chains that reach a place lead
     names: dict[str, int] = {}
@@ -429,7 +438,7 @@ def labelled_pages(n: int = 700, seed: int = 4) -> list[tuple[list[Block], list[
                 out.append("<table><tr>" + "".join(f"<td>{sentence(1, 1, 3)}</td>" for _ in range(3)) + "</tr></table>")
             elif marked and r < 0.93:
                 out.append(f"<p>{sign(1)}</p>" if r < 0.915 else f"<p>{sentence(1, 1, 4)}</p>")
-            elif marked:
+            if marked and chance(0.15):
                 out.append(rest(pick(["ad", "side", "notice", "form"])))
         return out or [f"<p>{prose(1)}</p>"]
 
@@ -489,11 +498,13 @@ def default_field() -> Field:
     return train(labelled_pages())
 
 
-def main_blocks(f: Field, page: str | None) -> list[str]:
+def main_blocks(f: Field, page: str | None, gain: dict[str, float] | None = None) -> list[str]:
+    """The main text's blocks; gain are the field's weights by name, if they are at hand."""
     found = blocks(page)
     if not found:
         return []
-    return [b.text for b, label in zip(found, viterbi(f, f.scores(found)), strict=True) if label]
+    scores = f.scores(found) if gain is None else scored(gain, features(found))
+    return [b.text for b, label in zip(found, viterbi(f, scores).tolist(), strict=True) if label]
 
 
 def extract(spark: SparkSession, df: DataFrame, html_col: str = "html", field: Field | None = None) -> DataFrame:
@@ -512,8 +523,9 @@ def extract(spark: SparkSession, df: DataFrame, html_col: str = "html", field: F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Field(**held.value)
+        gain = dict(zip(f.names, (f.weights[:, 1] - f.weights[:, 0]).tolist(), strict=True))
         for b in batches:
-            found = [main_blocks(f, p.as_py()) for p in part(b, place)]
+            found = [main_blocks(f, p.as_py(), gain) for p in part(b, place)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["\n".join(x) for x in found], pa.string()), pa.array([len(x) for x in found], pa.int32())], names=["doc", "text", "blocks"])
 
     return rows.mapInArrow(run, schema_with(rows, "text string, blocks int"))
