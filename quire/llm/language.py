@@ -57,8 +57,8 @@ def probes(gram: np.ndarray) -> list[np.ndarray]:
 def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n-gram hashes of all texts, the text of each, and for each text whether it has a letter.
 
-    Runs of other characters count as one space, and a text has one at either
-    end, so a word of N - 2 letters is one n-gram.
+    Runs of other characters count as one space; a text has none at its start and
+    one at its end.
     """
     joined = " \0 ".join(["", *texts, ""])
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -413,10 +413,9 @@ def test_bloom_slices_have_no_false_negatives_and_the_expected_false_positives()
 
 
 def plain_grams(text):
-    """4-grams of letters, other characters as one space, a space at either end."""
-    s = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
-    s = " " + " ".join(s.split(" ")) + " "
-    s = re.sub(" +", " ", s)
+    """4-grams of letters, runs of other characters as one space, none at the start and one at the end."""
+    s = "".join(c.lower()[0] if c.isalpha() else " " for c in text) + " "
+    s = re.sub(" +", " ", s).lstrip(" ")
     return [s[k : k + 4] for k in range(len(s) - 3)]
 
 
