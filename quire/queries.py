@@ -252,11 +252,15 @@ PACKAGED = r"(SELECT doc_id, '  \usepackage[x]{' || array_to_string(string_split
 @query(rf"""SELECT doc_id, CASE WHEN len(rest) = len(asked) THEN tex WHEN len(rest) = 0 THEN substr(tex, position(chr(10) IN tex) + 1) ELSE '  \usepackage[x]{{' || array_to_string(rest, ',') || '}} % why' || substr(tex, position(chr(10) IN tex)) END AS tex
 FROM (SELECT doc_id, tex, list_filter(asked, lambda x: NOT list_contains(gone, x)) AS rest, asked FROM (SELECT doc_id, tex, gone, list_filter(list_transform(string_split(regexp_extract(tex, '\{{([^}}]*)\}}', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS asked FROM {PACKAGED}))""")
 def drop_packages(spark, sf):
-    """Each document asks for its first three words as packages; the second is missing."""
-    words = F.regexp_replace("text", "[^A-Za-z ]", "")
-    asked = F.split(words, " ")
-    made = F.concat(F.lit("  \\usepackage[x]{"), F.array_join(F.slice(asked, 1, 3), ", "), F.lit("} % why\n"), words)
-    return read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", tex.drop_packages(made, F.slice(asked, 2, 1)).alias("tex"))
+    """Each document asks for its first three words as packages; the second is missing, unless it is empty and so names none.
+
+    Words and names are columns of their own: within the operator they would be made anew for every package of every line.
+    """
+    rows = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("words"))
+    rows = rows.select("doc_id", "words", F.slice(F.split("words", " ", 4), 1, 3).alias("asked"))
+    rows = rows.select("doc_id", "words", "asked", F.filter(F.slice("asked", 2, 1), lambda x: x != "").alias("gone"))
+    made = F.concat(F.lit("  \\usepackage[x]{"), F.array_join("asked", ", "), F.lit("} % why\n"), F.col("words"))
+    return rows.select("doc_id", tex.drop_packages(made, F.col("gone")).alias("tex"))
 
 
 @query(rf"""SELECT doc_id, list_filter(keys, lambda x: regexp_matches(x, '^26/[A-Za-z0-9._-]+\.(?:cls|sty)$')) AS files FROM (SELECT doc_id, list_concat(CASE WHEN cls <> '' THEN ['26/' || trim(cls) || '.cls'] ELSE [] END, list_transform(flatten(list_transform(packages, lambda x: string_split(x, ','))), lambda x: '26/' || trim(x) || '.sty')) AS keys

@@ -40,6 +40,16 @@ def test_query_equals_its_sql(spark, duck, name, tmp_path):
     assert rows[0] == rows[1]
 
 
+def test_drop_packages_where_words_are_empty(spark, tmp_path):
+    texts = ["   Erin elle", "     ", "漢字 漢字 漢字 字", "a  b", " a b", "  a b", "a a a a", "a b a c", "a", "", " ", "a ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = dict(QUERIES["drop_packages"](spark, str(tmp_path)).select("doc_id", "tex").collect())
+    assert ours == dict(c.sql(f"SELECT doc_id, tex FROM ({SQL['drop_packages']})").fetchall())
+    assert ours[0] == "  \\usepackage[x]{, , } % why\n   Erin elle" and ours[6] == "a a a a" and len(ours) == len(texts) - 1
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
